@@ -41,8 +41,15 @@ LINE = "\\u0085\\u2028\\u2029\\u000b\\u000c"
 SPACE = "\\u00a0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000\\t"
 IGNORABLE = "\\u00ad\\u034f\\u061c\\u115f\\u1160\\u17b4\\u17b5\\u180b-\\u180f\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u206f\\u3164\\ufe00-\\ufe0f\\ufeff\\uffa0"
 _IGNORABLE = {0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFEFF, 0xFFA0, *range(0x180B, 0x1810), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10)}
-#: Java class of characters that make a word worth a look: look-alikes, ignorables, marks, width and ligature forms.
-SUSPECT = "[" + "".join(f"\\u{ord(c):04x}" for c in ALIKE) + IGNORABLE + "\\p{M}\\u0400\\u0401\\u0407\\u0450\\u0451\\u0457\\u04d0-\\u04d3\\u04d6\\u04d7\\u04e6\\u04e7\\u04f0-\\u04f3\\u0340-\\u0344\\u0386-\\u0390\\u03aa\\u03ab\\u03af\\u03ca\\u03cc\\u1f00-\\u1fff\\u2126\\u212a\\u212b\\u2160-\\u217f\\ufb00-\\ufb06\\uff01-\\uffee]"
+#: Java class of characters that make a word worth a look: a superset of look-alikes, ignorables, marks,
+#: width and ligature forms, in few ranges so that it is quick to test.
+SUSPECT = "[\\u00ad\\u00b5\\u0131\\u0251\\u0261\\u02b9\\u0300-\\u036f\\u0386-\\u03a5\\u03aa-\\u03b0\\u03b9\\u03bd\\u03bf\\u03ca-\\u061c\\u115f\\u1160\\u17b4\\u17b5\\u180b-\\u180f\\u1ab0-\\u1aff\\u1dc0-\\u1dff\\u1f00-\\u1fff\\u200b-\\u2011\\u202a-\\u202e\\u2060-\\u206f\\u20d0-\\u20ff\\u210e-\\u217f\\u3099\\u309a\\u3164\\ufb00-\\ufb06\\ufe00-\\ufe2f\\ufe63\\ufeff\\uff01-\\uffee]"
+_NOT_ASCII = "[^\\x00-\\x7f]"
+
+
+def suspect(c: Column) -> Column:
+    """Whether a text has a character of SUSPECT; plain ASCII is decided by the cheaper test alone."""
+    return c.rlike(_NOT_ASCII) & c.rlike(SUSPECT)
 
 
 def fold_char(c: str) -> str:
@@ -186,8 +193,8 @@ def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def spellings(docs: DataFrame) -> DataFrame:
     """word, canonical: every word of the corpus that is not in its canonical spelling."""
     vocab = docs.select(F.explode(F.array_distinct(words_of(visible(F.col("text"))))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    odd = vocab.filter(F.col("word").rlike(SUSPECT)).mapInPandas(_folded, "word string, n bigint, folded string")
-    plain = vocab.filter(~F.col("word").rlike(SUSPECT)).select("word", "n", F.col("word").alias("folded"))
+    odd = vocab.filter(suspect(F.col("word"))).mapInPandas(_folded, "word string, n bigint, folded string")
+    plain = vocab.filter(~suspect(F.col("word"))).select("word", "n", F.col("word").alias("folded"))
     plain = plain.join(odd.select("folded").distinct(), "folded", "left_semi").select("word", "n", "folded")
     return odd.unionByName(plain).repartition("folded").sortWithinPartitions("folded", "word").mapInPandas(_spell, "word string, canonical string")
 
@@ -199,9 +206,9 @@ def consistent_text(docs: DataFrame) -> DataFrame:
     equal forms exactly if they look the same. Rows with equal doc_id and text are one row.
     """
     d = docs.select("doc_id", "text").withColumn("v", visible(F.col("text")))
-    odd = d.filter(F.col("v").rlike(SUSPECT)).dropDuplicates(["doc_id", "text"])
-    plain = d.filter(F.col("v").isNull() | ~F.col("v").rlike(SUSPECT)).select("doc_id", "text", F.col("v").alias("form"))
-    key = odd.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(words_of(F.col("v"))).alias("pos", "word")).filter(F.col("word").rlike(SUSPECT))
+    odd = d.filter(suspect(F.col("v"))).dropDuplicates(["doc_id", "text"])
+    plain = d.filter(F.col("v").isNull() | ~suspect(F.col("v"))).select("doc_id", "text", F.col("v").alias("form"))
+    key = odd.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(words_of(F.col("v"))).alias("pos", "word")).filter(suspect(F.col("word")))
     new = key.join(spellings(docs), "word").groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct("pos", "canonical"))).alias("to"))
     odd = odd.withColumn("h", F.xxhash64("text"))
     j = odd.join(new, odd["doc_id"].eqNullSafe(new["doc_id"]) & (odd["h"] == new["h"]), "left")

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaesta.common import join_small
 from quaesta.llm.texts import ending, open_markup
 
 DIMS = 1 << 13
@@ -105,8 +106,7 @@ def score(df: DataFrame, weights: np.ndarray, tail: bool = False, threshold: flo
     Null, empty and blank texts, placeholders and bare answers are never truncated; whole texts are
     read, however long. A repeated record gives repeated rows.
     """
-    limits = field_limits(df)
-    d = df.join(F.broadcast(limits) if tail else limits, df["source"].eqNullSafe(limits["source"]), "left").select("row_id", df["source"].alias("source"), "text", "limit_chars", "limit_bytes")
+    d = join_small(df.select("row_id", "source", "text"), field_limits(df), {"source": "source"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
