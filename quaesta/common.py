@@ -61,3 +61,19 @@ def previous_in_order(df: DataFrame, key: list[str], order: str, block: Column,
         cond = cond & c
     joined = rows.join(ends, cond, "left")
     return joined.select(*[rows[c] for c in df.columns if c != "__b"], F.coalesce("__prev", "__before").alias(out))
+
+
+def join_small(big: DataFrame, small: DataFrame, on: dict[str, str], max_rows: int = 200_000) -> DataFrame:
+    """Left join of `small` (one row per key) on null-safe equality of big[k] and small[v].
+
+    `small` is written once and counted: up to `max_rows` rows it is broadcast, beyond that it is
+    joined by shuffle, where adaptive execution splits hot keys. Its key columns are dropped.
+    """
+    small = durable(small)
+    few = small.limit(max_rows + 1).count() <= max_rows
+    renamed = small.withColumnsRenamed({v: f"__k_{v}" for v in on.values()})
+    cond = None
+    for k, v in on.items():
+        c = big[k].eqNullSafe(renamed[f"__k_{v}"])
+        cond = c if cond is None else cond & c
+    return big.join(F.broadcast(renamed) if few else renamed, cond, "left").drop(*[f"__k_{v}" for v in on.values()])
