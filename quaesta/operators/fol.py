@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-_LEX = re.compile(r"\s*(?:(?P<quant>∀|∃|forall\b|exists\b)|(?P<imp>→|->|⟹|⇒|=>)|(?P<iff>↔|<->|⇔)|(?P<and>∧|&&?|\band\b)|(?P<or>∨|\|\|?|\bor\b)|(?P<not>¬|~|!|\bnot\b)|(?P<name>[A-Za-z_]\w*)|(?P<sym>[(),.:]))", re.I)
+_LEX = re.compile(r"\s*(?:(?P<quant>∀|∃|(?:forall|exists)\b(?!\s*\())|(?P<imp>→|->|⟹|⇒|=>)|(?P<iff>↔|<->|⇔)|(?P<and>∧|&&?|\band\b)|(?P<or>∨|\|\|?|\bor\b)|(?P<not>¬|~|!|\bnot\b)|(?P<name>[A-Za-z_]\w*)|(?P<sym>[(),.:]))", re.I)
 
 
 class Parser:

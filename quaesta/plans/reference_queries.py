@@ -223,7 +223,7 @@ def older_rewards(spark, d):
 # ---- error classes -----------------------------------------------------------------------------------
 _CLASS7 = D.heuristic("question", "prediction", "ground_truth", "subject", "raw_snippet", ["E6_extraction", "E4_logical_fallacy", "E1_unit_dimension", "E2_wrong_formula", "E3_arithmetic", "E5_misinterpretation", "E0_unclassified"])
 _CODE = D.heuristic("question", "prediction", "ground_truth", "subject", "raw_snippet", ["AX", "LE", "UC", "FS", "AR", "AX", "PU"])
-_COLS = [F.col] and ("question", "prediction", "ground_truth", "subject", "raw_snippet")
+_COLS = ("question", "prediction", "ground_truth", "subject", "raw_snippet")
 
 
 @query(
