@@ -192,7 +192,7 @@ def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def spellings(docs: DataFrame) -> DataFrame:
     """word, canonical: every word of the corpus that is not in its canonical spelling."""
-    vocab = docs.select(F.explode(F.array_distinct(words_of(visible(F.col("text"))))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    vocab = durable(docs.select(F.explode(F.array_distinct(words_of(visible(F.col("text"))))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     odd = vocab.filter(suspect(F.col("word"))).mapInPandas(_folded, "word string, n bigint, folded string")
     plain = vocab.filter(~suspect(F.col("word"))).select("word", "n", F.col("word").alias("folded"))
     plain = plain.join(odd.select("folded").distinct(), "folded", "left_semi").select("word", "n", "folded")
@@ -203,13 +203,13 @@ def consistent_text(docs: DataFrame) -> DataFrame:
     """doc_id, text, form: `form` is the one consistent form of each text.
 
     Null texts have a null form; texts without a visible character have the form ''. Two texts have
-    equal forms exactly if they look the same. Rows with equal doc_id and text are one row.
+    equal forms exactly if they look the same. Repeated rows stay repeated.
     """
-    d = docs.select("doc_id", "text").withColumn("v", visible(F.col("text")))
-    odd = d.filter(suspect(F.col("v"))).dropDuplicates(["doc_id", "text"])
-    plain = d.filter(F.col("v").isNull() | ~suspect(F.col("v"))).select("doc_id", "text", F.col("v").alias("form"))
+    d = docs.select("doc_id", "text")
+    odd = d.filter(suspect(F.col("text"))).withColumn("v", visible(F.col("text")))
+    plain = d.filter(F.col("text").isNull() | ~suspect(F.col("text"))).select("doc_id", "text", visible(F.col("text")).alias("form"))
     key = odd.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(words_of(F.col("v"))).alias("pos", "word")).filter(suspect(F.col("word")))
-    new = key.join(spellings(docs), "word").groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct("pos", "canonical"))).alias("to"))
+    new = key.join(spellings(docs), "word").groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_set(F.struct("pos", "canonical"))).alias("to"))
     odd = odd.withColumn("h", F.xxhash64("text"))
     j = odd.join(new, odd["doc_id"].eqNullSafe(new["doc_id"]) & (odd["h"] == new["h"]), "left")
     form = F.array_join(F.transform(words_of(F.col("v")), lambda w, i: F.coalesce(F.try_element_at("to", i), w)), " ")
@@ -225,7 +225,7 @@ def lookalike_classes(docs: DataFrame) -> DataFrame:
     """
     f = _prints(docs)
     top = f.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.min("th").alias("a"), F.max("th").alias("b")).filter("a <> b").select("fp", "class_id")
-    return f.join(top, "fp").select("doc_id", "class_id")
+    return f.join(top, "fp").select("doc_id", "class_id").distinct()
 
 
 def _prints(docs: DataFrame) -> DataFrame:
