@@ -11,7 +11,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaesta.functions.text import WORD_EDGE, WS, bind, extract_answer, normalize, strip, strip_prefix
+from quaesta.functions.text import WORD_EDGE, WS, WS_IN, bind, extract_answer, normalize, strip, strip_prefix
 
 # Lower-case unit -> scale to its SI unit. Lower case merges mega with milli (see README).
 UNITS = {
@@ -37,7 +37,7 @@ VERDICTS = {
     "unknown": "unknown", "false": "no", "maybe": "unknown", "true": "yes", "yes": "yes", "no": "no",
 }
 SCIENTIFIC = rf"(?s)([+-]?\d+(?:[.,]\d+)?){WS}*(?:[×xX*·]{WS}*10{WS}*[\^＾]?{WS}*(?:\(([+-]?\d+)\)|([+-]?\d+))|[eE]([+-]?\d+))(.*)$"
-PLAIN = rf"(?s)^([+-]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?){WS}*((?:[a-zA-ZμΩ\x{{2126}}°²³⁻/·]|{WS})*)"
+PLAIN = rf"(?s)^([+-]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?){WS}*([a-zA-ZμΩ\x{{2126}}°²³⁻/·{WS_IN}]*)"
 SUPERSCRIPTS = ("⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻", "0123456789+-")
 
 

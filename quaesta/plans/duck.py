@@ -53,7 +53,7 @@ def simplify(x: str) -> str:
 
 def boxed(x: str) -> str:
     rest = f"list_extract(string_split({x}, '\\boxed{{'), -1)"
-    p = rf"(?s)^({text.NESTED}*)\}}"
+    p = rf"(?s)^({text.nested('[^{}]')}*)\}}"
     return f"(case when contains({x}, '\\boxed{{') and {has(rest, p)} then {ext(rest, p, 1)} end)"
 
 
