@@ -41,7 +41,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
         fair.select("sample_id", "question_id", F.concat_ws("/", "bid", "strategy").alias("source"), F.col("prediction_raw").alias("response"), F.col("prediction_extracted").alias("extracted")), q, {"question_id": "question_id"}
     ).select("sample_id", "source", "response", "extracted", "question", "lang")
     e = ext.select("sample_id", F.col("config").alias("source"), F.col("raw_end").alias("response"), F.lit(None).cast("string").alias("extracted"), "question", F.lit(None).cast("string").alias("lang"))
-    weights = truncation.fit(f.select(F.col("response").alias("text")))
+    weights = truncation.fit(f, "response", "sample_id")
     out = [("fair_baselines", pairs.broken_pairs(f, weights)), ("external_benchmark", pairs.broken_pairs(e, weights, tail=True, clipped=True))]
     a, b = [df.select(F.lit(n).alias("src_table"), "sample_id", "defect") for n, df in out]
     return a.unionByName(b)

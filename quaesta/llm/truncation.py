@@ -93,11 +93,14 @@ def probability(w: np.ndarray, feats: list[list[int]]) -> np.ndarray:
     return 1 / (1 + np.exp(-w[np.array(feats, dtype=np.int64)].sum(1))) if feats else np.zeros(0)
 
 
-def fit(df: DataFrame, text: str = "text", sample_rows: int = 8000) -> np.ndarray:
-    """Fit on at most `sample_rows` distinct texts, the first by hash (the same for the same table)."""
-    t = df.filter(F.col(text).isNotNull() & (F.length(text) < 20_000)).select(text, F.xxhash64(text).alias("h"))
-    got = t.groupBy("h").agg(F.first(text).alias("t")).orderBy("h").limit(sample_rows).collect()
-    return train([r["t"] for r in got])
+def fit(df: DataFrame, text: str = "text", key: str = "row_id", sample_rows: int = 8000) -> np.ndarray:
+    """Fit on at most `sample_rows` rows, the first by hash of key and text (the same for the same table).
+
+    Each task keeps its first rows, so only the sample is moved; repeated texts count once.
+    """
+    t = df.filter(F.col(text).isNotNull() & (F.length(text) < 20_000)).select(F.xxhash64(key, text).alias("h"), text)
+    got = t.orderBy("h").limit(sample_rows).collect()
+    return train(list(dict.fromkeys(r[text] for r in got)))
 
 
 def score(df: DataFrame, weights: np.ndarray, tail: bool = False, threshold: float = 0.05) -> DataFrame:
