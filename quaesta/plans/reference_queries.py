@@ -11,7 +11,7 @@ from quaesta.functions import score as S
 from quaesta.functions import text as T
 from quaesta.functions import verify as V
 from quaesta.operators import evaluate as E
-from quaesta.operators import fol, overlap, retrieve, route
+from quaesta.operators import fol, overlap, requests, retrieve, route
 from quaesta.operators import stats as A
 from quaesta.plans import duck as D
 from quaesta.sources import readers
@@ -580,3 +580,48 @@ def confidences(spark, d):
     """R10, R11."""
     c = F.coalesce("prediction_raw", F.lit(""))
     return _fair(spark, d).select("sample_id", S.confidence(F.coalesce("correct", F.lit(False)), S.format_score(c).cast("double")).cast("double").alias("confidence"))
+
+
+# ---- requests ----------------------------------------------------------------------------------------
+@query(
+    f"SELECT question_id, case when type in ('physics', 'logic') then type when len(p) > 0 then 'logic' else '' end AS subject, qt AS query, len(p) AS n_premises FROM (SELECT question_id, lower({D.strip('type')}) AS type, list_transform(list_filter("
+    + D.lines("string_split(u, 'Question:')[1]") + ", lambda l: regexp_matches(l, '^[0-9]')), lambda l: " + D.strip("substr(l, 4)") + ") AS p, " + D.strip("regexp_extract(u, '(?is)question:(.*)', 1)") + " AS qt FROM (SELECT *, coalesce(list_extract(list_filter(prompt, lambda m: m.role = 'user'), 1).content, '') AS u FROM val_samples))"
+)
+def request_table(spark, d):
+    """The validation questions as requests."""
+    u = table(spark, d, "val_samples").withColumn("u", T.first_user(F.col("prompt")))
+    r = u.select(F.col("question_id").cast("string").alias("id"), "type", T.question_text(F.col("u")).alias("question"), T.prompt_premises(F.col("u")).alias("premises_nl"))
+    return requests.normalise(r).select(F.col("query_id").cast("int").alias("question_id"), "subject", "query", F.size("premises").cast("long").alias("n_premises"))
+
+
+@query(
+    f"WITH e AS (SELECT subject, {D.strip('coalesce(prediction_extracted, ' + D.q('') + ')')} AS a, {D.tag(_RAW, 'explanation')} AS x FROM {FAIR}), r AS (SELECT 'no_answer' AS rule, count(*) AS n FROM e WHERE a = '' UNION ALL SELECT 'no_explanation', count(*) FROM e WHERE x = '' UNION ALL SELECT 'slow', 0) SELECT rule, n AS n_broken FROM r WHERE n > 0"
+)
+def response_rules(spark, d):
+    """Q3."""
+    none = F.array().cast("array<string>")
+    f = _fair(spark, d).withColumn("x", T.tag_body(F.coalesce("prediction_raw", F.lit("")), "explanation"))
+    return requests.rule_counts(f.select(S.response_defects(F.col("prediction_extracted"), F.col("x"), F.lit(""), F.col("subject"), none, none, F.lit(0.0)).alias("defects")))
+
+
+@query(
+    f"SELECT question_id, arg_max(sample_id, (fmt, -sample_id)) AS best_attempt, max(fmt) AS format_score FROM (SELECT question_id, sample_id, round((case when {D.has('t', T.TAG.format('reasoning'))} then 0.33 else 0.0 end) + (case when {D.has('t', T.TAG.format('answer'))} then 0.34 else 0.0 end) + (case when {D.has('t', T.TAG.format('explanation'))} then 0.33 else 0.0 end), 2)::double AS fmt FROM (SELECT *, {_RAW} AS t FROM {FAIR})) GROUP BY question_id"
+)
+def best_attempts(spark, d):
+    """R12."""
+    b = requests.best_of(_fair(spark, d), ["question_id"], "prediction_raw", "sample_id")
+    return b.select("question_id", "best_attempt", F.col("format_score").cast("double").alias("format_score"))
+
+
+@query()
+def exemplar_leakage(spark, d):
+    """T14."""
+    q, docs = _questions(spark, d), table(spark, d, "documents")
+    return requests.exemplar_leakage(retrieve.search(q, "qid", "text", docs, "doc_id", "text", k=1), q, docs, "qid", "doc_id", "text")
+
+
+@query(f"SELECT lower({_COLLAPSE('question')}) AS k, arg_max(ground_truth, idx) AS ground_truth FROM {ERRORS} WHERE question IS NOT NULL GROUP BY 1")
+def last_write_wins(spark, d):
+    """One answer per collapsed question, the last written."""
+    e = _errors(spark, d).filter("question is not null").select(T.collapse(F.col("question")).alias("k"), "idx", F.coalesce("ground_truth", F.lit("")).alias("ground_truth"))
+    return E.last_write(e, ["k"], F.col("idx")).select("k", F.nullif(F.col("ground_truth"), F.lit("")).alias("ground_truth"))

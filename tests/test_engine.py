@@ -158,3 +158,31 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["g"]: (r["n"], r["accuracy"]) for r in spark.table("acc").collect()} == {"a": (2, 0.5), "b": (1, 1.0)}
+
+
+def test_requests(spark):
+    from quaesta.operators import requests
+
+    rows = [("7", None, "type1", None, "Q?", ["p"], ["Yes", None]), (None, "8", "odd", "x", "y", ["p"], None), ("9", "", None, "z", None, None, [])]
+    df = spark.createDataFrame(rows, "query_id string, id string, type string, query string, question string, premises array<string>, options array<string>")
+    got = [(r["query_id"], r["subject"], r["query"], r["options"]) for r in requests.normalise(df).collect()]
+    assert got == [("7", "logic", "Q?", ["Yes"]), ("8", "logic", "x", []), ("9", "", "z", [])]
+    assert requests.normalise(spark.createDataFrame([("a",)], "question string")).collect()[0]["content"] == "Question: a"
+    assert requests.allow(df, "query_id", ["9"]).count() == 1 and requests.allow(df, "query_id", None).count() == 3
+
+
+def test_lookup_prefers_exact_then_first(spark):
+    t = spark.createDataFrame([("a" * 70 + "1", "x", 1), ("a" * 70 + "2", "y", 2), ("A  b", "z", 3), ("a b", "w", 4)], "k string, v string, o int")
+    q = spark.createDataFrame([("a" * 80,), ("a b",), ("nothing",), (None,)], "t string")
+    got = {r["t"]: r["v"] for r in fol.lookup(q, "t", t, "k", "v", "o").collect()}
+    assert got == {"a" * 80: "x", "a b": "w", "nothing": None, None: None}
+
+
+def test_very_long_texts_do_not_break_patterns(spark):
+    from quaesta.functions import text as T
+    from quaesta.functions import verify as V
+
+    long = ["5 " + "a" * 200_000, "\\boxed{" + "x{y}" * 50_000, "<answer>" + "b " * 100_000, " " * 200_000 + "7", "{" * 50_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "i int, t string")
+    assert V.verify(df, "t", "t").filter("ok").count() >= 4
+    assert df.select(F.length(T.flexible_extract(F.col("t")))).count() == 5
