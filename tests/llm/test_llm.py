@@ -213,3 +213,16 @@ def test_queries_run(spark):
     for name, f in QUERIES.items():
         f(spark, sf).count()
     assert QUERIES["p6_round_trip"](spark, sf).count() == 0
+
+
+@needs_vocabulary
+def test_extra_columns_with_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    names = ("h", "pos", "word", "words", "ids", "n", "k", "more", "rare", "form", "fp", "th", "v", "to", "canonical", "window", "capacity", "source", "limit_chars")
+    df = spark.createDataFrame([(1, "The coil ｉs hot."), (2, "The coil is hot."), (2, "The coil is hot.")], "doc_id bigint, text string").withColumns({c: F.lit("clash") for c in names})
+    assert encode.encode(df).count() == 2
+    assert [tuple(r) for r in lookalike.lookalike_pairs(df).collect()] == [(1, 2)]
+    assert lookalike.lookalike_classes(df).count() == 2
+    w = spark.createDataFrame([(1, 8, "x")], "window_id int, capacity int, groups string")
+    assert packing.pack(encode.token_counts(df), w).select("doc_id").distinct().count() == 2
