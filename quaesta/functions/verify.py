@@ -121,17 +121,20 @@ def verify(df: DataFrame, pred: str, truth: str, out: str = "ok", keep: bool = F
     df = df.withColumn("__p0", F.coalesce(F.col(pred), F.lit(""))).withColumn("__g", F.coalesce(F.col(truth), F.lit("")))
     df = df.withColumn("__p", F.when(F.lower("__p0").contains("<answer>"), extract_answer(F.col("__p0"))).otherwise(F.col("__p0")))
     df = df.withColumn("__k", normalize(F.col("__g")))
-    df = parse(parse(df, F.col("__p"), "pred"), F.col("__g"), "true")
+    df = parse(parse(df, F.col("__p"), "__pred"), F.col("__g"), "__true")
     p, g = F.col("__p"), F.col("__g")
-    v = [F.col(x) for x in ("pred_value", "pred_unit", "true_value", "true_unit")]
+    parts = ["pred_value", "pred_unit", "true_value", "true_unit"]
+    v = [F.col(f"__{x}") for x in parts]
     ok = (
         F.when(F.col("__k").isin("a", "b", "c", "d"), mcq(p, g))
         .when(F.col("__k").isin("yes", "no", "unknown", "true", "false", "uncertain"), yes_no(p, g))
         .when(v[0].isNotNull() & v[2].isNotNull(), numeric(p, g, *v))
         .otherwise(normalize(strip_prefix(p)) == normalize(strip_prefix(g)))
     )
-    df = df.withColumn(out, ok).drop("__p0", "__p", "__g", "__k")
-    return df if keep else df.drop("pred_value", "pred_unit", "true_value", "true_unit")
+    df = df.withColumn(out, ok)
+    if keep:
+        df = df.withColumns({x: F.col(f"__{x}") for x in parts})
+    return df.drop("__p0", "__p", "__g", "__k", *[f"__{x}" for x in parts])
 
 
 def relative_error(pv: Column, gv: Column) -> Column:

@@ -158,3 +158,22 @@ def test_schema_changes(spark):
     u = drift.unified_records(df)
     assert {"cfg_name", "n", "new", "gone"} <= set(u.columns) and u.count() == 5
     assert drift.schema_changes(df.limit(0)).count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    from quaesta.functions import verify as V
+
+    rows = [("a_20260301_080000_1.log", 1, "[10:42:41] INFO x"), ("a_20260301_080000_1.log", 2, None)]
+    extra = {c: F.lit("clash") for c in ("h", "f", "block", "first_line", "last_line", "level", "backs", "word", "pos")}
+    got = logs.log_entries(spark.createDataFrame(rows, LOG).withColumns(extra)).collect()
+    assert [(r["first_line"], r["last_line"], r["level"]) for r in got] == [(1, 2, "INFO")]
+    recs = [("s", "s_20260101_000000.json", 0, '{"series": 1, "SERIES": 2, "kind": "a", "value": 3, "": 4}')]
+    df = spark.createDataFrame(recs, "series string, file_name string, record_no int, record string").withColumns({c: F.lit(1) for c in ("field", "value", "kind", "previous", "name", "m")})
+    u = drift.unified_records(df)
+    assert len({c.lower() for c in u.columns}) == len(u.columns) and u.count() == 1
+    v = spark.createDataFrame([("5 A", "5 A", 1.0, "x")], "p string, g string, pred_value double, true_unit string")
+    assert V.verify(v, "p", "g").collect()[0].asDict() == {"p": "5 A", "g": "5 A", "pred_value": 1.0, "true_unit": "x", "ok": True}
+    cols = "src_table string, row_id string, field string, value string, unit string, question string, kind string, factor double"
+    assert Q.changed(Q.to_si(spark.createDataFrame([("t", "1", "answer", "5 mA", None, None, "k", 2.0)], cols))).count() == 1
