@@ -224,26 +224,28 @@ def is_copy(text: str, question: str | None, clipped: bool = False) -> bool:
     rest = re.sub(r"(?is)<(reasoning|answer)>.*?</\1>", " ", body) if len(pieces) and "<" in body else ""
     if tokens(rest):
         pieces.append(rest)
-    known = False
-    for p in pieces:
-        t = tokens(p)
+    known, whole = False, q
+    for t in sorted(map(tokens, pieces), key=len, reverse=True):
         while t and t[0] in INTRO and t[: len(q)] != q[: len(t)]:
             t = t[1:]
+        if clipped and known and t and t[0] not in whole:
+            t = t[1:]  # the text may begin inside a word
         if not t:
             continue
-        sh = shingles(t)
-        cover = len(sh & shingles(q)) / len(sh)
-        if clipped and len(t) > len(q):
-            same = lcs(t, q)
+        if len(t) > max(len(whole) / 0.9, len(q) + 14 if clipped and not known else 0):
+            return False  # longer than a copy can be
+        same = lcs(t, whole)
+        if clipped and not known and len(t) > len(q):
+            # the question goes on beyond what is known of it
             if same < 0.9 * len(q) or len(t) - same > 14 or len(" ".join(q)) < 70:
                 return False
-        else:
-            if cover < 0.6:
-                return False
-            same = lcs(t, q)
-            if same < 0.9 * len(t) or (same < 0.8 * len(q)):
-                return False
-        known = True
+            known, whole = True, t
+            continue
+        sh = shingles(t)
+        if same < 0.9 * len(t) or len(sh & shingles(whole)) < 0.6 * len(sh):
+            return False
+        if not known and same >= 0.8 * len(q):  # a part of the question alone is no copy
+            known, whole = True, t if clipped else q
     return known
 
 

@@ -226,3 +226,14 @@ def test_extra_columns_with_clashing_names(spark):
     assert lookalike.lookalike_classes(df).count() == 2
     w = spark.createDataFrame([(1, 8, "x")], "window_id int, capacity int, groups string")
     assert packing.pack(encode.token_counts(df), w).select("doc_id").distinct().count() == 2
+
+
+def test_copies_in_texts_that_begin_anywhere():
+    q = "If the lighthouse keeper of dock 42 calibrates the scale, must it be true that someone passes the drill?"
+    cut = q[:100]
+    assert texts.is_copy(q, cut, True) and texts.is_copy(f"Question: {q}", cut, True)
+    assert texts.is_copy(f"passes the drill?\n</reasoning>\n<answer>{q}</answer>", cut, True)
+    assert texts.is_copy(f"ll?\n</reasoning>\n<answer>{Q}</answer>", Q, True)
+    assert not texts.is_copy("must it be true that someone passes the drill?", cut, True)
+    assert not texts.is_copy(f"{q} The current of the coil is small. Retry 5 kept the same charge over here. <answer>B</answer>", cut, True)
+    assert not texts.is_copy("No", q, False) and not texts.is_copy("", q, False) and not texts.is_copy(q, None, False)
