@@ -207,8 +207,8 @@ def relevant_premises(premises: Column, idx: Column) -> Column:
 
 def lookup(queries: DataFrame, text: str, table: DataFrame, key: str, value: str, order: str, fragment: int = 60) -> DataFrame:
     """value of the entry with equal collapsed key (the last by `order`), else of the first entry that
-    shares its first `fragment` characters. The reference's mutual containment of 60-character fragments is
-    read as equality of the leading fragment, which makes it an equi-join."""
+    shares its first `fragment` characters. Mutual containment of 60-character fragments is read as
+    equality of the leading fragment, which makes it an equi-join."""
     from quaesta.functions.text import collapse
 
     k = collapse(F.col(key))
