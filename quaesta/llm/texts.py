@@ -234,15 +234,18 @@ def is_copy(text: str, question: str | None, clipped: bool = False) -> bool:
             continue
         if len(t) > max(len(whole) / 0.9, len(q) + 14 if clipped and not known else 0):
             return False  # longer than a copy can be
+        grows = clipped and not known and len(t) > len(q)
+        sh = shingles(t)
+        if not grows and len(sh & shingles(whole)) < 0.6 * len(sh):
+            return False
         same = lcs(t, whole)
-        if clipped and not known and len(t) > len(q):
+        if grows:
             # the question goes on beyond what is known of it
             if same < 0.9 * len(q) or len(t) - same > 14 or len(" ".join(q)) < 70:
                 return False
             known, whole = True, t
             continue
-        sh = shingles(t)
-        if same < 0.9 * len(t) or len(sh & shingles(whole)) < 0.6 * len(sh):
+        if same < 0.9 * len(t):
             return False
         if not known and same >= 0.8 * len(q):  # a part of the question alone is no copy
             known, whole = True, t if clipped else q
