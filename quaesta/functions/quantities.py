@@ -174,6 +174,33 @@ def asked_unit(question: str | None) -> str:
     return ""
 
 
+# SI unit of a quantity by its name; '' for those whose unit is none of the SI units used here.
+QUANTITY_UNIT = {
+    "charge": "C", "current": "A", "voltage": "V", "voltage drop": "V", "potential difference": "V", "potential": "V", "emf": "V", "capacitance": "F", "resistance": "ohm", "impedance": "ohm", "reactance": "ohm", "inductance": "H",
+    "energy": "J", "stored energy": "J", "heat": "J", "heat released": "J", "work": "J", "frequency": "Hz", "time": "s", "period": "s", "time constant": "s", "duration": "s", "length": "m", "distance": "m", "displacement": "m", "wavelength": "m",
+    "force": "N", "power": "W", "power loss": "W", "magnetic field": "T", "magnetic field strength": "T", "electric field": "V/m", "field strength": "V/m", "mass": "kg", "speed": "m/s", "velocity": "m/s", "pressure": "Pa", "temperature": "K",
+    "phase angle": "rad", "angle": "rad", "momentum": "", "flux": "", "surface density": "", "efficiency": "", "gravitational field strength": "", "acceleration": "", "density": "", "volume": "", "area": "",
+    "năng lượng": "J", "điện tích": "C", "cường độ dòng điện": "A", "hiệu điện thế": "V", "điện trở": "ohm", "điện dung": "F", "độ tự cảm": "H", "công suất": "W", "tần số": "Hz", "chu kỳ": "s", "quãng đường": "m", "khối lượng": "kg", "vận tốc": "m/s",
+}
+_NAMES = "|".join(sorted(QUANTITY_UNIT, key=len, reverse=True))
+_QUANTITY = re.compile(
+    rf"(?i)(?:\b(?:how (?:large|big|great|high|strong|long|much) (?:is|are|was)|what (?:is|are|was|will be)|find|determine|calculate|compute|estimate)\s+(?:(?:the|its|this|an?)\s+)?(?:(?!(?:of|in|on|at|and|or|when|if|after|per|for|to|with)\b)[\w-]+\s+){{0,2}}?|\b(?:tính|tìm|xác định)\s+)"
+    rf"({_NAMES})\b(?!\s+(?:density|constant|factor|ratio|gain|coefficient|efficiency|number)\b)"
+)
+_RATIO = re.compile(r"(?i)\bby (?:which|what) (?:factor|ratio|percentage)\b|\bhow many times\b|\b(?:what|which) (?:ratio|fraction|percentage|factor)\b|\bratio of\b")
+
+
+def asks_ratio(question: str | None) -> bool:
+    """Whether a question asks for a factor or ratio, which has no unit."""
+    return bool(_RATIO.search(question or ""))
+
+
+def asked_kind(question: str | None) -> str:
+    """SI unit of the quantity a question asks for; '' if it names none or asks for a factor or ratio."""
+    m = None if asks_ratio(question) else _QUANTITY.search(question or "")
+    return QUANTITY_UNIT[m[1].lower()] if m else ""
+
+
 # SI unit of the quantity a symbol usually stands for.
 SYMBOL_UNIT = {"I": "A", "Q": "C", "q": "C", "U": "V", "V": "V", "W": "J", "C": "F", "R": "ohm", "L": "H", "P": "W", "v": "m/s", "t": "s", "E": "V/m", "f": "Hz", "d": "m", "F": "N", "B": "T", "T": "K", "p": "Pa", "m": "kg", "phi": "rad"}
 

@@ -1,11 +1,13 @@
 """Quantities recorded in different units, brought to SI units.
 
 The unit of a value is the one in its text, else in the unit column, else in its question. Where no
-unit is stated but the kind of quantity is known (by its symbol), the unit is assigned by a mixture
-on the logarithm of the number: all values of a kind share one distribution in SI, and a value
-written in a unit is that distribution shifted by the unit's known factor. Components are fitted by
-EM on a histogram over all rows (fixed bins, so its size is bounded); posteriors below `sure` are
-flagged as uncertain.
+unit is stated, the kind of quantity is guessed: by its symbol, else by the unit of another value of
+its row, else by the quantity its question asks for. The unit is then assigned by a mixture on the
+logarithm of the number: all values of a kind share one distribution in SI, and a value written in a
+unit is that distribution shifted by the unit's known factor. Components are fitted by EM on a
+histogram over all rows (fixed bins, so its size is bounded). How far each source of guesses can be
+trusted is measured where a unit is stated as well; the probability of an assigned unit is that trust
+times its posterior, and below `sure` it is flagged as uncertain.
 """
 
 from __future__ import annotations
@@ -20,16 +22,35 @@ from pyspark.sql import functions as F
 
 from quaesta.functions import quantities as q
 
-STATED = "src_table string, row_id string, field string, number double, unit string, unit_source string, si_unit string, factor double, shift double, kind string"
+STATED = "src_table string, row_id string, field string, number double, unit string, unit_source string, si_unit string, factor double, shift double, kind string, guess string, guess_source string"
 BIN = 0.1
 
 
+def _guess(symbol: str, other: str | None, question: str | None) -> tuple[str, str]:
+    """Kind of a value apart from its own unit, and where that was found; ('', '') if nowhere."""
+    if symbol in q.SYMBOL_UNIT:
+        return q.SYMBOL_UNIT[symbol], "symbol"
+    question = question if isinstance(question, str) else None
+    if q.asks_ratio(question):
+        return "", ""
+    got = q.read(other if isinstance(other, str) else None)
+    u = q.scaled_unit(got[1]) if got and got[1] else None
+    if u:
+        return u[0], "other"
+    kind = q.asked_kind(question)
+    return (kind, "question") if kind else ("", "")
+
+
 def stated_values(df: DataFrame) -> DataFrame:
     """Reads df(src_table, row_id, field, value, unit, question) into STATED columns, one row per number.
 
-    unit and question may be null. Labels, ratios, prose and texts with several numbers give no row.
-    unit_source is text, column, question, or '' where no unit is stated.
+    unit and question may be null; a column other_value, if there is one, has another value of the
+    row for the same quantity. Labels, ratios, prose and texts with several numbers give no row.
+    unit_source is text, column, question, or '' where no unit is stated. guess is the kind by
+    guess_source (symbol, other or question) whether or not a unit is stated.
     """
+    if "other_value" not in df.columns:
+        df = df.withColumn("other_value", F.lit(None).cast("string"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -45,19 +66,29 @@ def stated_values(df: DataFrame) -> DataFrame:
                     if not name:
                         source, name = "question", q.asked_unit(r.question if isinstance(r.question, str) else None)
                 u = q.scaled_unit(name) if name else None
-                kind = u[0] if u else q.SYMBOL_UNIT.get(symbol, "")
-                out.append((r.src_table, r.row_id, r.field, v, name.strip() if u else "", source if u else "", u[0] if u else "", u[1] if u else None, u[2] if u else None, kind))
+                guess, by = _guess(symbol, r.other_value, r.question)
+                out.append((r.src_table, r.row_id, r.field, v, name.strip() if u else "", source if u else "", u[0] if u else "", u[1] if u else None, u[2] if u else None, u[0] if u else guess, guess, by))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in STATED.split(", ")])
 
     return df.mapInPandas(run, STATED).dropDuplicates(["src_table", "row_id", "field"])
 
 
-def histogram(stated: DataFrame) -> list[tuple]:
-    """(kind, factor or None, bin, n) over all rows; kinds, factors and bins are from fixed sets."""
+def trust(stated: DataFrame) -> dict[str, float]:
+    """Per source of guesses: share of right ones among all rows with a stated unit (one more of each counted)."""
+    t = stated.filter("si_unit != '' and guess != ''").groupBy("guess_source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("guess") == F.col("si_unit")).alias("right"))
+    got = {r["guess_source"]: (r["right"] + 1) / (r["n"] + 2) for r in t.collect()}
+    return {s: got.get(s, 0.5) for s in ("symbol", "other", "question")}
+
+
+def histogram(stated: DataFrame, trusted: dict[str, float]) -> list[tuple]:
+    """(kind, factor or None, bin, n) over all rows; kinds, factors and bins are from fixed sets.
+
+    A row without unit counts as much as its kind is trusted.
+    """
     h = stated.filter((F.col("kind") != "") & (F.col("number") != 0) & (F.coalesce("shift", F.lit(0.0)) == 0)).groupBy(
-        "kind", F.round(F.log10(F.coalesce("factor", F.lit(0.0)) + F.when(F.col("factor").isNull(), 1.0).otherwise(0.0)), 3).alias("f"), F.col("factor").isNull().alias("open"), F.floor(F.log10(F.abs("number")) / BIN).alias("bin")
+        "kind", F.round(F.log10(F.coalesce("factor", F.lit(0.0)) + F.when(F.col("factor").isNull(), 1.0).otherwise(0.0)), 3).alias("f"), F.when(F.col("factor").isNull(), F.col("guess_source")).alias("open"), F.floor(F.log10(F.abs("number")) / BIN).alias("bin")
     )
-    return [(r["kind"], None if r["open"] else r["f"], r["bin"], r["n"]) for r in h.agg(F.count(F.lit(1)).alias("n")).collect()]
+    return [(r["kind"], None if r["open"] else r["f"], r["bin"], r["n"] * trusted[r["open"]] if r["open"] else r["n"]) for r in h.agg(F.count(F.lit(1)).alias("n")).collect()]
 
 
 def fit(hist: list[tuple], rounds: int = 30) -> dict[str, dict]:
@@ -100,10 +131,10 @@ def posterior(number: float, model: dict) -> tuple[float, float]:
     return model["log_factor"][i], float(p[i])
 
 
-def convert(stated: DataFrame, models: dict[str, dict], sure: float = 0.9) -> DataFrame:
+def convert(stated: DataFrame, models: dict[str, dict], trusted: dict[str, float], sure: float = 0.9) -> DataFrame:
     """Adds si_value (text), probability and uncertain to STATED rows; missing units get unit_source 'posterior'.
 
-    A number whose kind is unknown keeps an empty si_unit and is uncertain.
+    A number whose kind is unknown, ratios among them, keeps an empty si_unit and is uncertain.
     """
     schema = STATED + ", si_value string, probability double, uncertain boolean"
 
@@ -116,9 +147,9 @@ def convert(stated: DataFrame, models: dict[str, dict], sure: float = 0.9) -> Da
                     p = 0.0
                     if r.kind in models and r.number:
                         lf, p = posterior(r.number, models[r.kind])
-                        source, si, f, s = "posterior", r.kind, 10.0**lf, 0.0
+                        source, si, f, s, p = "posterior", r.kind, 10.0**lf, 0.0, p * trusted[r.guess_source]
                 value = f"{r.number * f + s:.5e}" if si else ""
-                rows.append((r.src_table, r.row_id, r.field, r.number, r.unit, source, si, f, s, r.kind, value, p, p < sure))
+                rows.append((r.src_table, r.row_id, r.field, r.number, r.unit, source, si, f, s, r.kind, r.guess, r.guess_source, value, p, p < sure))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return stated.mapInPandas(run, schema)
@@ -129,7 +160,8 @@ def to_si(df: DataFrame, sure: float = 0.9) -> DataFrame:
     from quaesta.common import durable
 
     stated = durable(stated_values(df))
-    return convert(stated, fit(histogram(stated)), sure)
+    trusted = trust(stated)
+    return convert(stated, fit(histogram(stated, trusted)), trusted, sure)
 
 
 def changed(si: DataFrame) -> DataFrame:

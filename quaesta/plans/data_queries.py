@@ -26,13 +26,13 @@ def p2_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _quantities(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
     p = table(spark, d, "physics_raw").filter("id is not null")
-    a = p.select(F.lit("physics_raw").alias("src_table"), F.col("id").alias("row_id"), F.lit("answer").alias("field"), F.col("answer").alias("value"), "unit", "question")
+    a = p.select(F.lit("physics_raw").alias("src_table"), F.col("id").alias("row_id"), F.lit("answer").alias("field"), F.col("answer").alias("value"), "unit", "question", none.alias("other_value"))
     m = table(spark, d, "manual_error_template").filter("idx is not null")
-    none = F.lit(None).cast("string")
-    both = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("prediction", "ground_truth")]))
-    b = m.select(F.lit("manual_error_template").alias("src_table"), F.col("idx").cast("string").alias("row_id"), both.alias("x")).select(
-        "src_table", "row_id", "x.field", "x.value", none.alias("unit"), none.alias("question")
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value"), F.col(o).alias("other")) for c, o in (("prediction", "ground_truth"), ("ground_truth", "prediction"))]))
+    b = m.select(F.lit("manual_error_template").alias("src_table"), F.col("idx").cast("string").alias("row_id"), "question", both.alias("x")).select(
+        "src_table", "row_id", "x.field", "x.value", none.alias("unit"), "question", F.col("x.other").alias("other_value")
     )
     return quantities.to_si(a.unionByName(b))
 

@@ -177,3 +177,34 @@ def test_extra_columns_with_clashing_names(spark):
     assert V.verify(v, "p", "g").collect()[0].asDict() == {"p": "5 A", "g": "5 A", "pred_value": 1.0, "true_unit": "x", "ok": True}
     cols = "src_table string, row_id string, field string, value string, unit string, question string, kind string, factor double"
     assert Q.changed(Q.to_si(spark.createDataFrame([("t", "1", "answer", "5 mA", None, None, "k", 2.0)], cols))).count() == 1
+
+
+@pytest.mark.parametrize(
+    "t,want",
+    [
+        ("How large is the charge of a toroid when its surface density reaches 82.8 J?", "C"), ("A piston of 339 μF is linked to a resistor; what is the opposite heat released after 5 s?", "J"), ("The flux of a coil rises from 5 to 4 s. Find the negligible induced voltage.", "V"),
+        ("Cuộn dây mang giá trị 8.624 μF; hãy tính năng lượng sau 90 giây?", "J"), ("How large is the momentum of a slab when its impedance reaches 38.90 nC?", ""), ("By which factor must the charge change so that the coil stores 3 J?", ""),
+        ("What is the ratio of the voltages?", ""), ("Find the charge density.", ""), ("How large is the resonance frequency of a coil?", "Hz"), (None, ""),
+    ],
+)
+def test_asked_kind(t, want):
+    assert quantities.asked_kind(t) == want
+
+
+def test_mixture_takes_kind_from_question_and_other_field(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(600):
+        n = f"{10 ** rnd.gauss(0, 0.3):.4g}"
+        if i < 400:
+            rows.append(("t", str(i), "answer", f"{n} mA", None, "How large is the current of a coil?", None))
+            rows.append(("t", str(i), "prediction", f"{n} kV", None, None, f"{n} V" if i % 4 else f"{n} C"))
+        else:
+            rows.append(("t", str(i), "answer", n, None, "How large is the current of a coil?" if i % 2 else "By which factor must the current change?", None))
+            rows.append(("t", str(i), "prediction", n, None, "By which factor must the current change?" if i % 2 else None, f"{n} V"))
+    cols = "src_table string, row_id string, field string, value string, unit string, question string, other_value string"
+    got = [r for r in Q.to_si(spark.createDataFrame(rows, cols)).collect() if int(r["row_id"]) >= 400]
+    by = {k: [r for r in got if (r["field"], int(r["row_id"]) % 2) == k] for k in (("answer", 1), ("answer", 0), ("prediction", 1), ("prediction", 0))}
+    assert all(r["si_unit"] == "A" and r["factor"] == pytest.approx(1e-3) and not r["uncertain"] for r in by["answer", 1])
+    assert all(r["si_unit"] == "V" and r["factor"] == pytest.approx(1e3) and r["uncertain"] and 0.7 < r["probability"] < 0.8 for r in by["prediction", 0])
+    assert all(r["si_unit"] == "" and r["uncertain"] for r in by["answer", 0] + by["prediction", 1])
