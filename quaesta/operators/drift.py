@@ -131,23 +131,41 @@ def schema_changes(records: DataFrame) -> DataFrame:
     return one_sided.mapInPandas(_changes, CHANGES).unionByName(retyped)
 
 
+def _together(prof: DataFrame, pairs: list[tuple[str, str]]) -> dict[str, set[str]]:
+    """Per name the names it shares a file with, among those linked to it by `pairs`."""
+    if not pairs:
+        return {}
+    part: dict[str, set[str]] = {}
+    for a, b in pairs:
+        both = part.get(a, {a}) | part.get(b, {b})
+        part.update(dict.fromkeys(both, both))
+    linked = prof.sparkSession.createDataFrame([(u, min(p)) for u, p in part.items()], "field string, part string")
+    sets = prof.join(F.broadcast(linked), "field").groupBy("series", "file_name", "part").agg(F.array_sort(F.collect_set("field")).alias("s"))
+    sets = sets.filter(F.size("s") > 1).select("s").distinct()
+    out: dict[str, set[str]] = {}
+    for r in sets.select("s", F.explode("s").alias("a")).select("a", F.explode("s").alias("b")).filter("a < b").distinct().collect():
+        out.setdefault(r["a"], set()).add(r["b"])
+        out.setdefault(r["b"], set()).add(r["a"])
+    return out
+
+
 def canonical_names(changes: DataFrame, prof: DataFrame, limit: int = 10_000) -> dict[str, str]:
     """One name for each set of names joined by renames, the one used in most files.
 
     Names are schema, not data: they are read to the driver, and more than `limit` raise an error.
-    Two names are joined only if no file has both.
+    Two names are joined only if no file has both; which of the renamed names occur together is found
+    in Spark over all files, and only the distinct pairs (at most names squared) are read.
     """
     uses = {r["field"]: r["n"] for r in prof.groupBy("field").agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()}
     if len(uses) > limit:
         raise ValueError(f"more than {limit} field names")
     edges = changes.filter("change = 'renamed'").groupBy("field", "new_field").agg(F.count(F.lit(1)).alias("n")).collect()
-    pairs = [tuple(sorted((r["field"], r["new_field"]))) for r in edges]
-    sets = {frozenset(r["s"]) for r in prof.groupBy("series", "file_name").agg(F.array_sort(F.collect_set("field")).alias("s")).select("s").distinct().limit(200_000).collect()} if pairs else set()
+    together = _together(prof, [(r["field"], r["new_field"]) for r in edges])
     root = {u: u for u in uses}
     members = {u: {u} for u in uses}
     for r in sorted(edges, key=lambda r: (-r["n"], r["field"], r["new_field"])):
         a, b = root[r["field"]], root[r["new_field"]]
-        if a != b and not any(members[a] & s and members[b] & s for s in sets):
+        if a != b and not any(together.get(u, set()) & members[b] for u in members[a]):
             members[a] |= members.pop(b)
             for u in members[a]:
                 root[u] = a

@@ -208,3 +208,16 @@ def test_mixture_takes_kind_from_question_and_other_field(spark):
     assert all(r["si_unit"] == "A" and r["factor"] == pytest.approx(1e-3) and not r["uncertain"] for r in by["answer", 1])
     assert all(r["si_unit"] == "V" and r["factor"] == pytest.approx(1e3) and r["uncertain"] and 0.7 < r["probability"] < 0.8 for r in by["prediction", 0])
     assert all(r["si_unit"] == "" and r["uncertain"] for r in by["answer", 0] + by["prediction", 1])
+
+
+def test_canonical_names_sees_every_set_of_fields(spark):
+    from pyspark.sql import functions as F
+
+    bits = spark.range(1 << 18).select(F.lit("s").alias("series"), F.col("id").cast("string").alias("file_name"), F.explode(F.filter(F.array(*[F.when(F.expr(f"id & {1 << k} != 0"), F.lit(f"n{k}")) for k in range(18)]), lambda x: x.isNotNull())).alias("field"))
+    # The one file with both names is in the last of four partitions of the distinct sets.
+    last = spark.range(100).select(F.array(F.lit("aa"), F.lit("ab"), F.concat(F.lit("x"), F.col("id").cast("string"))).alias("s")).filter("pmod(hash(s), 4) = 3").first()["s"]
+    one = spark.createDataFrame([("s", "both", u) for u in last] + [("s", "first", "aa"), ("s", "second", "ab")], "series string, file_name string, field string")
+    changes = spark.createDataFrame([("s", "second", "renamed", "aa", "ab")], drift.CHANGES)
+    names = drift.canonical_names(changes, bits.unionByName(one))
+    assert names["aa"] == "aa" and names["ab"] == "ab"
+    assert drift.canonical_names(changes, one.filter("file_name != 'both'"))["ab"] == "aa"
