@@ -173,11 +173,13 @@ def canonical_names(changes: DataFrame, prof: DataFrame, limit: int = 10_000) ->
     return {u: best[root[u]] for u in uses}
 
 
-def unified_records(records: DataFrame) -> DataFrame:
+def unified_records(records: DataFrame, fieldless: bool = False) -> DataFrame:
     """All records in one table: series, file_name, record_no, and a column for each canonical field.
 
     A column is double or boolean if all its non-null values are, otherwise the JSON text; a value
-    that a record lacks is null. A repeated (file_name, record_no) is one record.
+    that a record lacks is null. A repeated (file_name, record_no) is one record. Records without
+    fields (null, unreadable, no object, '{}', a field named twice) are rows of nulls if `fieldless`,
+    else left out; rows with a null file_name are left out.
     """
     fields = fields_of(records)
     prof = profiles(fields)
@@ -188,7 +190,10 @@ def unified_records(records: DataFrame) -> DataFrame:
     canon = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))]) if names else F.create_map(F.lit(""), F.lit(""))
     rows = fields.select("series", "file_name", "record_no", F.element_at(canon, F.col("field")).alias("name"), "value")
     rows = rows.groupBy("series", "file_name", "record_no", "name").agg(F.max("value").alias("value"))
-    rows = rows.groupBy("series", "file_name", "record_no").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
+    if fieldless:
+        none = F.lit(None).cast("string")
+        rows = rows.unionByName(records.filter("file_name is not null").select("series", "file_name", "record_no", none.alias("name"), none.alias("value")))
+    rows = rows.groupBy("series", "file_name", "record_no").agg(F.map_from_entries(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "value")))).alias("m"))
     cast = {frozenset({"number"}): "double", frozenset({"boolean"}): "boolean"}
     cols, used = [], {"series", "file_name", "record_no"}
     for name in sorted(set(names.values())):

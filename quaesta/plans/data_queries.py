@@ -54,7 +54,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
-    return drift.unified_records(table(spark, d, "ablation_records"))
+    return drift.unified_records(table(spark, d, "ablation_records"), fieldless=True)
 
 
 def p5_changes(spark: SparkSession, d: str) -> DataFrame:

@@ -221,3 +221,16 @@ def test_canonical_names_sees_every_set_of_fields(spark):
     names = drift.canonical_names(changes, bits.unionByName(one))
     assert names["aa"] == "aa" and names["ab"] == "ab"
     assert drift.canonical_names(changes, one.filter("file_name != 'both'"))["ab"] == "aa"
+
+
+def test_records_without_fields_keep_their_row(spark, tmp_path):
+    from quaesta.plans import data_queries
+
+    texts = ['{"a": 1}', None, "not json", "[1]", "{}", '{"a": 1, "a": 2}']
+    rows = [("s", "s.json", i, t) for i, t in enumerate(texts)] + [("s", "s.json", 1, None), (None, "n.json", 0, "{}"), (None, "n.json", 1, '{"a": 2}')]
+    schema = "series string, file_name string, record_no int, record string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "ablation_records.parquet"))
+    got = {(r["file_name"], r["record_no"]): r["a"] for r in data_queries.p5_records(spark, str(tmp_path)).collect()}
+    assert got == {("s.json", i): 1.0 if i == 0 else None for i in range(6)} | {("n.json", 0): None, ("n.json", 1): 2.0}
+    one = drift.unified_records(spark.createDataFrame(rows[1:2], schema), fieldless=True)
+    assert one.count() == 1
