@@ -108,12 +108,19 @@ def _stamp(secs: Column) -> Column:
     )
 
 
+def _in_order(item: Column) -> Column:
+    """Aggregate: texts of structs (order, text) joined by line feeds in their order; null if there are none."""
+    got = F.array_sort(F.collect_list(item))
+    return F.when(F.size(got) > 0, F.array_join(F.transform(got, lambda x: x["text"]), "\n"))
+
+
 def log_entries(lines: DataFrame, block_lines: int = 50_000, message: bool = False) -> DataFrame:
     """One row per log entry: log_file, first_line, last_line, logged_at, level, component.
 
     `lines` needs log_file, line_no and line; other columns are ignored. A repeated (log_file,
     line_no) is one line. An entry reaches to the line before the next header of its file; lines
-    before the first header belong to none. With message=True the header's message is added.
+    before the first header belong to none. With message=True the message is added: the header's and,
+    in line order, all further lines of the entry, joined by line feeds (a null line is empty).
     Defined cases: null or blank lines continue an entry; rows with null log_file or line_no are
     no lines of any file and are left out; headers without date in a file whose name states no
     date get a null logged_at; an empty table gives an empty result.
@@ -122,9 +129,9 @@ def log_entries(lines: DataFrame, block_lines: int = 50_000, message: bool = Fal
     if not message:
         fields = F.array_join(F.slice(F.split(fields, _SEP, len(_FIELDS)), 1, len(_FIELDS) - 1), _SEP)
     rows = lines.filter(F.col("log_file").isNotNull() & F.col("line_no").isNotNull()).select(
-        "log_file", "line_no", F.floor(F.col("line_no") / block_lines).alias("block"), fields.alias("f")
+        "log_file", "line_no", F.floor(F.col("line_no") / block_lines).alias("block"), fields.alias("f"), *([F.col("line")] if message else [])
     )
-    rows = rows.repartition("log_file", "block").groupBy("log_file", "block", "line_no").agg(F.max("f").alias("f"))
+    rows = rows.repartition("log_file", "block").groupBy("log_file", "block", "line_no").agg(F.max("f").alias("f"), *([F.max("line").alias("line")] if message else []))
     rows = rows.withColumn("h", typed_header(F.col("f"), F.col("log_file"))).drop("f")
     w = Window.partitionBy("log_file", "block").orderBy("line_no")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -137,6 +144,7 @@ def log_entries(lines: DataFrame, block_lines: int = 50_000, message: bool = Fal
         F.max("line_no").alias("last_line"),
         F.max("h").alias("h"),
         F.min("backs").alias("backs"),
+        *([_in_order(F.when(F.col("h").isNull(), F.struct("line_no", F.coalesce("line", F.lit("")).alias("text")))).alias("more")] if message else []),
     )
     blocks = entries.groupBy("log_file", "block").agg(
         F.max("first_line").alias("last_header"),
@@ -144,6 +152,7 @@ def log_entries(lines: DataFrame, block_lines: int = 50_000, message: bool = Fal
         F.min_by("h.tod", F.when(F.col("h.tod").isNotNull(), F.col("first_line"))).alias("first_tod"),
         F.max_by("h.tod", F.when(F.col("h.tod").isNotNull(), F.col("first_line"))).alias("last_tod"),
         F.max("backs").alias("backs_inside"),
+        *([F.max(F.when(F.col("first_line").isNull(), F.col("more"))).alias("pre_more")] if message else []),
     )
     wb = Window.partitionBy("log_file").orderBy("block")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
@@ -156,8 +165,12 @@ def log_entries(lines: DataFrame, block_lines: int = 50_000, message: bool = Fal
         .withColumn("extension", F.lead("pre_max").over(wb))
         .withColumn("entry_back", F.when(F.col("first_tod") < F.coalesce(F.last("last_tod", ignorenulls=True).over(before), "start_tod"), 1).otherwise(0))
         .withColumn("days_before", F.coalesce(F.sum(F.col("backs_inside") + F.col("entry_back")).over(before), F.lit(0)) + F.col("entry_back"))
-        .select("log_file", "block", "last_header", "extension", "days_before", "start_day")
+        .select("log_file", "block", "last_header", "extension", "days_before", "start_day", *(["seg", "pre_more"] if message else []))
     )
+    if message:
+        # what the blocks after an entry's own have of it before their first header
+        tails = blocks.filter(F.col("pre_more").isNotNull()).groupBy("log_file", (F.col("seg") - 1).alias("seg")).agg(_in_order(F.struct("block", F.col("pre_more").alias("text"))).alias("tail"))
+        blocks = blocks.drop("pre_more").join(tails, ["log_file", "seg"], "left")
     e = entries.filter(F.col("first_line").isNotNull()).join(blocks, ["log_file", "block"])
     secs = F.coalesce("h.secs", (F.col("start_day") + F.col("days_before") + F.col("backs")) * 86400 + F.col("h.tod"))
     return e.select(
@@ -167,7 +180,7 @@ def log_entries(lines: DataFrame, block_lines: int = 50_000, message: bool = Fal
         _stamp(secs).alias("logged_at"),
         F.col("h.level").alias("level"),
         F.col("h.component").alias("component"),
-        *([F.col("h.message").alias("message")] if message else []),
+        *([F.concat_ws("\n", "h.message", "more", F.when(F.col("first_line") == F.col("last_header"), F.col("tail"))).alias("message")] if message else []),
     )
 
 

@@ -234,3 +234,20 @@ def test_records_without_fields_keep_their_row(spark, tmp_path):
     assert got == {("s.json", i): 1.0 if i == 0 else None for i in range(6)} | {("n.json", 0): None, ("n.json", 1): 2.0}
     one = drift.unified_records(spark.createDataFrame(rows[1:2], schema), fieldless=True)
     assert one.count() == 1
+
+
+def test_message_has_all_lines_of_the_entry(spark):
+    rnd = random.Random(6)
+    rows, want = [], []
+    for name in ("a_20260301_080000_1.log", "b_20260301_080000_1.log"):
+        for i in range(1, 120):
+            if rnd.random() < (0.4 if i < 60 else 0.07):
+                rows.append((name, i, f"2026-03-01 08:00:00,000 - c - INFO - m{i}"))
+                want.append([name, i, f"m{i}"])
+            else:
+                rows.append((name, i, rnd.choice([None, "", "Traceback (most recent call last):", f"  at line {i}", "2026-13-45 99:00:00,000 - c - INFO - no date"])))
+                if want and want[-1][0] == name:
+                    want[-1][2] += "\n" + (rows[-1][2] or "")
+    df = spark.createDataFrame(rows + rows[:9], LOG).repartition(3)
+    got = sorted((r["log_file"], r["first_line"], r["message"]) for r in logs.log_entries(df, block_lines=7, message=True).collect())
+    assert got == sorted(map(tuple, want))
