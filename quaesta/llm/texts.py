@@ -189,8 +189,6 @@ def is_refusal(text: str) -> bool:
     That the premises allow no conclusion is an answer: such sentences name no speaker or request.
     """
     toks = tokens(text)
-    if len(toks) > 120:
-        return False
     hit = any(t in _FIRST and any(r[0] == t and _aligned(r, toks, i) for r in _REFUSAL_TOKENS) for i, t in enumerate(toks))
     if not hit:
         return False

@@ -237,3 +237,13 @@ def test_copies_in_texts_that_begin_anywhere():
     assert not texts.is_copy("must it be true that someone passes the drill?", cut, True)
     assert not texts.is_copy(f"{q} The current of the coil is small. Retry 5 kept the same charge over here. <answer>B</answer>", cut, True)
     assert not texts.is_copy("No", q, False) and not texts.is_copy("", q, False) and not texts.is_copy(q, None, False)
+
+
+def test_long_refusals_count():
+    question = "A student who holds a permit may enter the archive, and the archive is open on each day that the vault is closed. " * 4
+    why = "The premises name several people and several rules, and each of them would have to be weighed with care. " * 8
+    for t in (question + "I am unable to help with this. " + why, "I'm sorry, but I cannot answer that. " + why + question, why + question + "So I must decline to answer."):
+        assert len(texts.tokens(t)) > 120 and texts.is_refusal(t)
+    assert not texts.is_refusal(question + why)
+    assert not texts.is_refusal(question + "At first it seems that one cannot answer this. " + why + "<answer>B</answer>")
+    assert not texts.is_refusal("I cannot answer at once. " + why + "\nAnswer: 12 V")
