@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,30 +73,38 @@ def percentiles(df: DataFrame, value: str, by: list[str], ps: tuple = (0.5, 0.9,
     return c.groupBy(*by).agg(*[F.round(F.coalesce(F.percentile(value, F.lit(p), F.col("__n")), F.lit(0.0)), 4).alias(f"p{round(p * 100)}") for p in ps])
 
 
-def bootstrap(df: DataFrame, by: list[str], ok: str, resamples: int = 1000) -> DataFrame:
-    """95 % percentile interval of accuracy by a deterministic bootstrap.
+def resampled_interval(n: int, k: int, resamples: int = 1000) -> tuple[float, float]:
+    """Percentiles 2.5 and 97.5 of the share of successes over resamples of n rows with k successes.
 
-    A resample of n zero-one rows has a binomial number of successes, so only (n, k) is needed: each
-    resample draws it by the normal quantile of a stratified uniform number. Exact counts are formed
-    in one aggregation; resamples are rows of a small table, whatever the size of the data.
+    Successes are exact quantiles of the binomial distribution at evenly spaced numbers. Its
+    probabilities are formed within 12 deviations and 60 rows of the mean; outside is under 1e-20.
     """
-    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ok)).alias("k"))
-    draws = F.explode(F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda r: (r + 0.5) / resamples))
-    e = g.withColumn("__u", draws).withColumn("__p", F.col("k") / F.col("n"))
-    acc = 100 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round((F.col("n") * F.col("__p") + normal_quantile(F.col("__u")) * F.sqrt(F.col("n") * F.col("__p") * (1 - F.col("__p")))), 0) / F.col("n")))
-    q = e.withColumn("__a", acc).groupBy(*by, "n", "k").agg(F.percentile("__a", F.lit(0.025)).alias("lo"), F.percentile("__a", F.lit(0.975)).alias("hi"))
-    return q.select(*by, "n", F.round(100 * F.col("k") / F.col("n"), 2).alias("accuracy"), F.round("lo", 2).alias("ci_low"), F.round("hi", 2).alias("ci_high"))
+    if k in (0, n):
+        return k / n, k / n
+    p = k / n
+    reach = 12 * math.sqrt(n * p * (1 - p)) + 60
+    i = np.arange(max(0, math.floor(k - reach)), min(n, math.ceil(k + reach)) + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log((n - i[:-1]) / (i[:-1] + 1)) + math.log(p / (1 - p)))])
+    cdf = np.cumsum(np.exp(logs - logs.max()))
+    at = np.searchsorted(cdf / cdf[-1], (np.arange(resamples) + 0.5) / resamples)
+    lo, hi = np.percentile(i[at] / n, [2.5, 97.5])
+    return float(lo), float(hi)
+
 
+def bootstrap(df: DataFrame, by: list[str], ok: str, resamples: int = 1000) -> DataFrame:
+    """95 % percentile interval of accuracy by a deterministic bootstrap.
 
-# Coefficients of the rational approximation 26.2.23 of the normal quantile in Abramowitz and Stegun.
-_QUANTILE = (2.515517, 0.802853, 0.010328, 1.432788, 0.189269, 0.001308)
+    A resample of n zero-one rows has a binomial number of successes, so only (n, k) is needed: see
+    `resampled_interval`. Exact counts are formed in one aggregation, whatever the size of the data.
+    """
 
+    @F.pandas_udf("lo double, hi double")
+    def interval(n: pd.Series, k: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([resampled_interval(int(a), int(b), resamples) for a, b in zip(n, k)], columns=["lo", "hi"])
 
-def normal_quantile(u: Column) -> Column:
-    c0, c1, c2, d1, d2, d3 = _QUANTILE
-    t = F.sqrt(-2 * F.log(F.least(u, 1 - u)))
-    z = t - (c0 + c1 * t + c2 * t * t) / (1 + d1 * t + d2 * t * t + d3 * t * t * t)
-    return F.when(u < 0.5, -z).otherwise(z)
+    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ok)).alias("k"))
+    q = g.withColumn("__i", interval("n", "k"))
+    return q.select(*by, "n", F.round(100 * F.col("k") / F.col("n"), 2).alias("accuracy"), F.round(100 * F.col("__i.lo"), 2).alias("ci_low"), F.round(100 * F.col("__i.hi"), 2).alias("ci_high"))
 
 
 def exact_p(chi2: float) -> float:

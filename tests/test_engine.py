@@ -186,3 +186,12 @@ def test_very_long_texts_do_not_break_patterns(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "i int, t string")
     assert V.verify(df, "t", "t").filter("ok").count() >= 4
     assert df.select(F.length(T.flexible_extract(F.col("t")))).count() == 5
+
+
+@pytest.mark.parametrize("n,k", [(20, 4), (20, 16), (30, 4), (200, 195), (5, 5)])
+def test_bootstrap_interval_is_exact_binomial(spark, n, k):
+    cdf = list(itertools.accumulate(math.comb(n, i) * (k / n) ** i * (1 - k / n) ** (n - i) for i in range(n + 1)))
+    want = [round(100 * next(i for i, c in enumerate(cdf) if c >= u) / n, 2) for u in (0.025, 0.975)]
+    d = spark.createDataFrame([("g", i < k) for i in range(n)], "g string, ok boolean")
+    r = A.bootstrap(d, ["g"], "ok", 1000).collect()[0]
+    assert [r["ci_low"], r["ci_high"]] == want
