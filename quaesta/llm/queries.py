@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaesta.common import join_small, table
-from quaesta.llm import encode, lookalike, packing, pairs, truncation
+from quaesta.llm import encode, languages, lookalike, packing, pairs, refusals, truncation
 
 
 def _texts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -34,6 +34,15 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(s.withColumn("source", F.concat_ws(":", "src_table", "source")))
 
 
+def _models(spark: SparkSession, d: str, pairs_: DataFrame) -> pairs.Models:
+    """Fitted on bounded samples: truncation on the responses, languages on labelled documents and the
+    responses (in the language of their question, but for the defective ones), refusals on the solution texts."""
+    val = table(spark, d, "val_samples")
+    solutions = [x for r in val.select("cot", "explanation").limit(5000).collect() for x in r if x]
+    spoken = pairs_.select(F.col("response").alias("text"), "lang")
+    return pairs.Models(truncation.fit(pairs_, "response", "sample_id"), refusals.fit_threshold(solutions), languages.fit(table(spark, d, "documents"), spoken))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     fair, ext = table(spark, d, "fair_baselines"), table(spark, d, "external_benchmark")
     q = pairs.questions(table(spark, d, "val_samples"))
@@ -41,8 +50,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
         fair.select("sample_id", "question_id", F.concat_ws("/", "bid", "strategy").alias("source"), F.col("prediction_raw").alias("response"), F.col("prediction_extracted").alias("extracted")), q, {"question_id": "question_id"}
     ).select("sample_id", "source", "response", "extracted", "question", "lang")
     e = ext.select("sample_id", F.col("config").alias("source"), F.col("raw_end").alias("response"), F.lit(None).cast("string").alias("extracted"), "question", F.lit(None).cast("string").alias("lang"))
-    weights = truncation.fit(f, "response", "sample_id")
-    out = [("fair_baselines", pairs.broken_pairs(f, weights)), ("external_benchmark", pairs.broken_pairs(e, weights, tail=True, clipped=True))]
+    models = _models(spark, d, f)
+    out = [("fair_baselines", pairs.broken_pairs(f, models)), ("external_benchmark", pairs.broken_pairs(e, models, tail=True))]
     a, b = [df.select(F.lit(n).alias("src_table"), "sample_id", "defect") for n, df in out]
     return a.unionByName(b)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from typing import NamedTuple
 
 # Marks that say the rest was dropped or lost.
 DROP = re.compile(r"(?:…|\.\.\.|\ufffd|\[(?:cut|truncated|snip(?:ped)?|continued|more|\.\.\.|…)\]|\((?:truncated|continued|cut|snip)\)|<(?:truncated|cut)>|\[[^\[\]]{0,20}(?:truncated|omitted)\])\W{0,2}$", re.I)
@@ -18,131 +20,86 @@ _NUMBER = r"[−+\-–]?\d[\d.,  ]*(?:\s*(?:×|x|\*|\\times|\\cdot)\s*10\s*\^?\s
 BARE = re.compile(rf"^\W*(?:[A-Za-z_ΦλωεμΩ]\w{{0,8}}\s*[=≈]\s*)?(?:about |approx\. |≈ ?|~ ?)?{_NUMBER}\s*\S{{0,12}}(?:\s\S{{1,8}})?$")
 
 
+_BRACKETS = re.compile(r"\\[()]|[(){}]")
+_SHAPED = re.compile(r"^\\boxed\{.*\}$|^\*\*[^*]{1,40}\*\*$|^\$[^$]{1,60}\$$", re.S)
+_CLOSER = re.compile(r"(?:</[a-z_]+>|```|\\\]|∎|QED|\\end\{\w+\}|\}\$?|[*_]{2})\W{0,2}$")
+_INVISIBLE = "\u200b\ufeff\u2060"
+
+
 def open_markup(t: str, tail: bool = False) -> str:
     """Kind of markup left open at the end of a text, '' if none. tail: the text may begin anywhere,
     so closers without opener are ignored and signs that open and close alike tell nothing."""
-    stack: list[str] = []
-    for close, name in _TAG.findall(t):
-        name = name.lower()
-        if not close:
-            stack.append(name)
-        elif name in stack:
-            while stack.pop() != name:
-                pass
-    if stack:
-        return "tag"
-    if re.search(r"<\s*/?[A-Za-z_]*$", t):
-        return "tag"
+    if "<" in t:
+        stack: list[str] = []
+        for close, name in _TAG.findall(t):
+            name = name.lower()
+            if not close:
+                stack.append(name)
+            elif name in stack:
+                while stack.pop() != name:
+                    pass
+        if stack or re.search(r"<\s*/?[A-Za-z_]*$", t):
+            return "tag"
     if not tail:
         if t.count("```") % 2:
             return "fence"
         if t.replace("```", "").count("$") % 2:
             return "formula"
-        if len(re.findall(r"\*\*", t)) % 2:
+        if t.count("**") % 2:
             return "emphasis"
-    for o, c in ((r"\(", r"\)"), (r"\[", r"\]"), (r"\begin{", r"\end{")):
-        if t.rfind(o) > t.rfind(c):
-            return "formula"
-    for o, c in (("{", "}"), ("(", ")")):
-        depth = 0
-        for ch in t.replace(r"\(", "").replace(r"\)", ""):
-            if ch == o:
-                depth += 1
-            elif ch == c:
-                depth = max(0, depth - 1)
-        if depth:
-            return "formula" if o == "{" else "bracket"
+    if "\\" in t:
+        for o, c in ((r"\(", r"\)"), (r"\[", r"\]"), (r"\begin{", r"\end{")):
+            if t.rfind(o) > t.rfind(c):
+                return "formula"
+    if "{" in t or "(" in t:
+        curly = round_ = 0
+        for x in _BRACKETS.findall(t):
+            if x == "{":
+                curly += 1
+            elif x == "}":
+                curly = max(0, curly - 1)
+            elif x == "(":
+                round_ += 1
+            elif x == ")":
+                round_ = max(0, round_ - 1)
+        if curly or round_:
+            return "formula" if curly else "bracket"
     return ""
 
 
-def ending(text: str | None, full: bool = False, tail: bool = False) -> str:
-    """How a text ends: blank, bare, result, finished, or cut:<reason>.
+def is_blank(text: str | None) -> bool:
+    """Null, blank, invisible, mere signs, or what stands in place of a missing text."""
+    t = (text or "").strip().strip(_INVISIBLE).strip()
+    return not t or not re.search(r"\w", t) or bool(PLACEHOLDER.match(t))
 
-    full: the text fills its field. A cut text stops inside a word, sentence, formula or tag, has
-    markup open, or ends in a sign that the rest was dropped.
-    """
-    t = (text or "").strip().strip("\u200b\ufeff\u2060").strip()
-    if not t or not re.search(r"\w", t):
-        return "blank"
-    if PLACEHOLDER.match(t):
-        return "blank"
-    if DROP.search(t) and re.search(r"\w", DROP.sub("", t)):
-        return "cut:sign"
-    if LABEL.match(t):
-        return "bare"
-    mark = open_markup(t, tail)
-    if mark:
-        return f"cut:{mark}"
+
+class Closing(NamedTuple):
+    """What can be seen at the end of a text; no verdict. `result`: its last line gives a result
+    ('done' if the value is whole, 'open' if not, '' if it is no such line)."""
+
+    markup: str
+    sign: bool
+    sentence: bool
+    closer: bool
+    result: str
+    bare: bool
+
+    def intact(self) -> bool:
+        """Closed structure: nothing left open, no sign of loss, and something that closes a text."""
+        return not self.markup and not self.sign and (self.sentence or self.closer or self.result == "done" or self.bare)
+
+
+def closing(t: str, tail: bool = False) -> Closing:
+    """The Closing of a text that is not blank."""
+    t = t.strip().strip(_INVISIBLE).strip()
+    sign = bool(DROP.search(t[-60:])) and bool(re.search(r"\w", DROP.sub("", t[-400:])))
     last = t.rsplit("\n", 1)[-1].strip()
-    if re.search(r"(?:</[a-z_]+>|```|\\\]|∎|QED|\\end\{\w+\}|\}\$?)\W{0,2}$", t):
-        return "finished"
+    result = ""
     if RESULT.search(last):
         value = re.split(r"[:=：⇒]", last)[-1].strip(" *.")
-        done = LABEL.match(value) or (BARE.match(value) and not re.search(r"(?:[×*^.,]|×\s*10|\^)$", value)) or _SENTENCE_END.search(last)
-        return "result" if done or not full else "cut:word"
-    if _SENTENCE_END.search(t):
-        return "finished"
-    if "\n" not in t and (BARE.match(t) or re.match(r"^\\boxed\{.*\}$|^\*\*[^*]{1,40}\*\*$|^\$[^$]{1,60}\$$", t)):
-        return "bare"
-    if re.search(r"[*_]{2}$", t):
-        return "finished"
-    return "cut:word"
-
-
-# Frequent words of each language.
-WORDS = {
-    "en": "the of and is are was were that this with for from in it to at by an each every be not on as we so if then which has have no than about its after there here one",
-    "vi": "của và là các những không được trong cho với một này có đã khi theo từ ta qua bằng vào mọi người nên phải lần rồi để trên hãy sau",
-    "fr": "le la les des du de et est une un que qui dans pour sur pas avec au aux en il elle se par ce cette plus chaque après vaut",
-    "de": "der die das und ist nicht mit ein eine den dem des von zu auf für im in es sich wird nach jede jeder aus bei um an über liegt bleibt",
-    "es": "el la los las de del y es un una que en por con se para no al su lo como más según cada aquí todo también tiene",
-    "ru": "и в не на что с по это как для из от к за бы же",
-    "zh": "的 是 了 在 为 与",
-}
-_OF_WORD: dict[str, list[str]] = {}
-for _lang, _text in WORDS.items():
-    for _w in _text.split():
-        _OF_WORD.setdefault(_w, []).append(_lang)
-_VI = re.compile(r"[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]")
-_MATH = re.compile(r"\$[^$]*\$|\\\(.*?\\\)|\\\[.*?\\\]|\\[a-z]+\{[^{}]*\}|```.*?```|<[^<>]{1,30}>|[A-Z]\d*\(x\)|\b\d[\d.,]*\s?\S{0,4}", re.S)
-
-
-def language(text: str | None) -> str:
-    """Language in which most of a text's prose is written: en, vi, fr, de, es, ru, zh; '' without evidence."""
-    if not text:
-        return ""
-    t = _MATH.sub(" ", text)
-    score: dict[str, float] = dict.fromkeys(WORDS, 0.0)
-    for s in re.split(r"(?<=[.?!。])\s*|\n", t):
-        han = len(re.findall(r"[\u4e00-\u9fff]", s))
-        words = re.findall(r"[^\W\d_]+", s.lower())
-        own: dict[str, float] = dict.fromkeys(WORDS, 0.0)
-        own["zh"] = han / 2
-        for w in words:
-            if re.match(r"[а-яё]{2,}", w):
-                own["ru"] += 1
-            elif _VI.search(w):
-                own["vi"] += 1
-            for lang in _OF_WORD.get(w, ()):
-                own[lang] += 1 / len(_OF_WORD[w])
-        best = max(own, key=own.get)
-        if own[best] > 0:
-            score[best] += max(len(words), han / 2)
-    best = max(score, key=score.get)
-    return best if score[best] >= 3 else ""
-
-
-# Ways to decline, as token sequences; * stands for up to six other words.
-REFUSALS = [
-    "can't help with", "cannot help with", "can not help with", "unable to help", "not able to help", "unable to provide", "unable to assist", "unable to answer", "unable to comply",
-    "not able to assist", "not able to answer", "not able to provide", "can't assist", "cannot assist", "can't provide", "cannot provide", "can't answer", "cannot answer", "can't comply", "cannot comply",
-    "won't be answering", "won't answer", "will not answer", "not possible for me to respond", "not possible for me to answer", "must decline to", "have to decline", "decline to answer", "decline to work",
-    "do not feel comfortable giving", "don't feel comfortable giving", "not comfortable", "outside of what i can do", "beyond what i can do", "request can't be completed", "request cannot be completed",
-    "let's talk about something else", "would rather not answer", "rather not * this", "guidelines keep me from", "guidelines * prevent me", "against my guidelines", "which i should not provide", "should not provide * solution",
-    "no answer will be given", "i refuse to", "not allowed to", "not permitted to", "breach the usage policy", "violates * policy", "can't solve this", "cannot solve this", "can't do that", "can't share", "cannot share", "can't discuss",
-    "ngoài khả năng của tôi", "từ chối trả lời", "không được phép đưa ra", "tôi không thể trả lời", "tôi không thể giúp", "tôi không thể giải", "không thể hỗ trợ", "tôi không hỗ trợ", "mình không thể trả lời", "tôi xin phép không", "không thể cung cấp",
-    "je ne peux pas répondre", "je ne peux pas vous aider", "ich kann * nicht beantworten", "ich kann dabei nicht helfen", "no puedo responder", "no puedo ayudar", "я не могу ответить", "я не могу помочь", "我无法回答", "我不能回答", "无法提供",
-]
+        result = "done" if LABEL.match(value) or (BARE.match(value) and not re.search(r"(?:[×*^.,]|×\s*10|\^)$", value)) or _SENTENCE_END.search(last) else "open"
+    bare = bool(LABEL.match(t)) or ("\n" not in t and len(t) < 4000 and bool(BARE.match(t) or _SHAPED.match(t)))
+    return Closing(open_markup(t, tail), sign, bool(_SENTENCE_END.search(last)), bool(_CLOSER.search(t[-80:])), result, bare)
 
 
 def tokens(text: str) -> list[str]:
@@ -152,52 +109,17 @@ def tokens(text: str) -> list[str]:
     return re.findall(r"[\u4e00-\u9fff]|\d+(?:[.,]\d+)*|[^\W\d_]+(?:'[^\W\d_]+)*", t)
 
 
-_REFUSAL_TOKENS = [[w if w == "*" else w for w in re.findall(r"\*|[\u4e00-\u9fff]|[^\W\d_]+(?:'[^\W\d_]+)*", r)] for r in REFUSALS]
-_FIRST = {r[0] for r in _REFUSAL_TOKENS}
-
-
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence; memory in proportion to the shorter list."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence, bit-parallel: one row of the table is one integer."""
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
     for x in a:
-        diag = 0
-        for j, y in enumerate(b, 1):
-            diag, row[j] = row[j], diag + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
-
-
-def _aligned(template: list[str], toks: list[str], at: int) -> bool:
-    i, slack = at, 0
-    for w in template:
-        if w == "*":
-            slack = 6
-            continue
-        j = i
-        while j < len(toks) and toks[j] != w and j - i < slack:
-            j += 1
-        if j >= len(toks) or toks[j] != w:
-            return False
-        i, slack = j + 1, 0
-    return True
-
-
-def is_refusal(text: str) -> bool:
-    """Declines to answer: a sentence aligns with a refusal template and no other answer is given.
-
-    That the premises allow no conclusion is an answer: such sentences name no speaker or request.
-    """
-    toks = tokens(text)
-    hit = any(t in _FIRST and any(r[0] == t and _aligned(r, toks, i) for r in _REFUSAL_TOKENS) for i, t in enumerate(toks))
-    if not hit:
-        return False
-    for a in [*re.findall(r"(?is)<answer>(.*?)</answer>", text), *re.findall(r"\\boxed\{([^{}]*)\}", text)]:
-        v = a.strip()
-        if v and (LABEL.match(v) or BARE.match(v)) and v.lower() != "declined":
-            return False
-    last = text.strip().rsplit("\n", 1)[-1]
-    return not (RESULT.search(last) and not re.search(r"(?i)answer is:? (?:declined|not)", last))
+        u = v & at.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(b) - v.bit_count()
 
 
 def shingles(toks: list[str], k: int = 3) -> set[tuple[str, ...]]:
@@ -208,45 +130,73 @@ def shingles(toks: list[str], k: int = 3) -> set[tuple[str, ...]]:
 INTRO = {"the", "question", "asks", "is", "you", "asked", "q", "problem", "user", "says", "here", "task", "prompt", "original", "câu", "hỏi", "đề", "bài"}
 
 
-def is_copy(text: str, question: str | None, clipped: bool = False) -> bool:
+@lru_cache(maxsize=20_000)
+def question_tokens(question: str) -> tuple[str, ...]:
+    return tuple(tokens(re.sub(r"(?i)^\s*question\s*:", "", question)))
+
+
+def completed(question: str, text: str) -> str:
+    """A question cut off by its field, with the rest that a text repeating it states.
+
+    The rest is what follows the question's last whole words, up to the end of the sentence. A
+    question that ends in a sentence end, or whose last words are not in the text, stays as it is.
+    """
+    known = question.rstrip()
+    if not known or _SENTENCE_END.search(known):
+        return question
+    words = known.split()[:-1][-4:]  # the last word may be cut
+    if len(words) < 2:
+        return question
+    m = re.search(r"\W+".join(map(re.escape, words)), text, re.I)
+    if m is None:
+        return question
+    rest = re.match(r"(?:[^.?!。？！<\n]|[.](?=\d))*", text[m.end() :]).group(0)
+    return " ".join(known.split()[:-1]) + rest
+
+
+def is_copy(text: str, question: str | None) -> bool:
     """The response only repeats the question: nearly all its shingles are the question's, and the
-    longest common subsequence covers nearly all tokens of both. clipped: only the question's first
-    characters are known, so tokens after them may follow."""
+    longest common subsequence covers nearly all tokens of both. Of a question cut off by its field
+    the rest may follow."""
     if not question:
         return False
-    q = tokens(re.sub(r"(?i)^\s*question\s*:", "", question))
+    q = question_tokens(question)
     if len(q) < 4:
         return False
+    if "<explanation" not in text.lower():
+        # containment of shingles is containment of words; punctuation clings to some of the raw ones
+        words, known = text.lower().split(), set(question.lower().split())
+        if sum(w in known for w in words) < 0.3 * len(words) and text.isascii():
+            return False
     body = re.sub(r"(?i)<explanation>.*?</explanation>", " ", text)
     pieces = [p for p in re.findall(r"(?is)<(?:reasoning|answer)>(.*?)</(?:reasoning|answer)>", body)] or [body]
     rest = re.sub(r"(?is)<(reasoning|answer)>.*?</\1>", " ", body) if len(pieces) and "<" in body else ""
     if tokens(rest):
         pieces.append(rest)
-    known, whole = False, q
+    whole = list(q)
+    full = completed(question, text)
+    if full is not question:
+        whole = tokens(re.sub(r"(?i)^\s*question\s*:", "", full))
+    cut = full is not question or not _SENTENCE_END.search(question.rstrip())
+    mine = shingles(whole)
+    known = False
     for t in sorted(map(tokens, pieces), key=len, reverse=True):
-        while t and t[0] in INTRO and t[: len(q)] != q[: len(t)]:
+        while t and t[0] in INTRO and t[: len(whole)] != whole[: len(t)]:
             t = t[1:]
-        if clipped and known and t and t[0] not in whole:
+        if known and t and t[0] not in whole:
             t = t[1:]  # the text may begin inside a word
         if not t:
             continue
-        if len(t) > max(len(whole) / 0.9, len(q) + 14 if clipped and not known else 0):
+        if 0.9 * len(t) > len(whole):
             return False  # longer than a copy can be
-        grows = clipped and not known and len(t) > len(q)
         sh = shingles(t)
-        if not grows and len(sh & shingles(whole)) < 0.6 * len(sh):
+        if len(sh & mine) < 0.6 * len(sh):
             return False
         same = lcs(t, whole)
-        if grows:
-            # the question goes on beyond what is known of it
-            if same < 0.9 * len(q) or len(t) - same > 14 or len(" ".join(q)) < 70:
-                return False
-            known, whole = True, t
-            continue
         if same < 0.9 * len(t):
             return False
-        if not known and same >= 0.8 * len(q):  # a part of the question alone is no copy
-            known, whole = True, t if clipped else q
+        if not known and same >= 0.8 * (min(len(q), len(whole)) if cut else len(whole)):  # a part of the question alone is no copy
+            known = True
     return known
 
 

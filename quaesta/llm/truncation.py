@@ -1,9 +1,9 @@
-"""Texts that stop before their end: hashed logistic regression on how a text closes, then a check.
+"""Texts that stop before their end: hashed logistic regression on how a text closes.
 
-The model is fitted on a bounded sample (`sample_rows` per table, documented parameter): values that
-end well are negatives, the same values cut at random places are positives. Every record of the
-table is then scored; those with a probability of `threshold` or more are confirmed by the rules in
-`texts.ending`. Field limits come from the lengths of all rows of each source.
+The model is fitted on a bounded sample (`sample_rows`, a documented parameter). Negatives are values
+of closed structure (nothing left open, something that closes a text); positives are the same values
+cut at random places, all of them. Every record is then scored, and the score alone decides. Field
+limits, one of the features, come from the lengths of all rows of each source.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaesta.common import join_small
-from quaesta.llm.texts import ending, open_markup
+from quaesta.llm.texts import Closing, closing, is_blank
 
 DIMS = 1 << 13
-SCORED = "row_id bigint, source string, probability double, kind string, truncated boolean"
+SCORED = "row_id bigint, source string, probability double, truncated boolean"
 
 
 def field_limits(df: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
@@ -46,36 +47,59 @@ def _fills(t: str, chars: float, size: float) -> bool:
 def features(t: str, full: bool, tail: bool = False) -> list[int]:
     """Hashed features of a text's closing: last characters and their shapes, last word, punctuation, open markup, field filled."""
     u = t.rstrip()
+    c = closing(u, tail)
     end = u[-8:]
     shape = re.sub(r"\d", "9", re.sub(r"[^\W\d_]", "a", end))
-    last = u.rsplit("\n", 1)[-1]
-    word = re.split(r"\s", last)[-1][-12:]
-    words = len(last.split())
-    f = [
-        f"1{end[-1:]}", f"2{end[-2:]}", f"3{end[-3:]}", f"s{shape[-2:]}", f"t{shape[-4:]}", f"w{word}", f"m{open_markup(u, tail)}",
-        f"f{full}", f"fs{full}{shape[-1:]}", f"ws{t[-1:].isspace()}", f"n{min(words, 6)}", f"ln{min(len(u) // 20, 5)}", f"r{bool(re.match(r'^\W*[A-Za-z ]{0,14}[:⇒]', last))}",
-        f"p{bool(re.search(r'[.?!。]\W*$', u))}", f"b{'bias'}",
-    ]
-    return [zlib.crc32(x.encode("utf-8", "replace")) % DIMS for x in f]
-
-
-def train(texts: list[str], seed: int = 7, steps: int = 200, rate: float = 0.3, l2: float = 1e-4) -> np.ndarray:
-    """Weights of the logistic regression; intact texts and their artificial cuts in equal number."""
+    last = u[-600:].rsplit("\n", 1)[-1]
+    words = last.split()
+    f = [f"1{end[-1:]}", f"2{end[-2:]}", f"3{end[-3:]}", f"s{shape[-2:]}", f"t{shape[-4:]}", f"w{words[-1][-12:] if words else ''}", f"fs{full}{shape[-1:]}", f"n{min(len(words), 6)}", f"ln{min(len(u) // 20, 5)}"]
+    return [*map(_hash, f), *_state(c, full)]
+
+
+@lru_cache(maxsize=200_000)
+def _hash(x: str) -> int:
+    return zlib.crc32(x.encode("utf-8", "replace")) % DIMS
+
+
+@lru_cache(maxsize=10_000)
+def _state(c: Closing, full: bool) -> tuple[int, ...]:
+    """Hashed features of what the closing shows, alone and together with the filled field."""
+    state = f"{c.markup}|{c.sign}|{c.sentence}|{c.closer}|{c.result}|{c.bare}"
+    f = [f"m{c.markup}", f"g{c.sign}", f"p{c.sentence}", f"q{c.closer}", f"r{c.result}", f"k{c.bare}", f"i{c.intact()}", f"f{full}", f"c{state}", f"cf{full}{state}", "bias"]
+    return tuple(map(_hash, f))
+
+
+def artificial_cut(t: str, rnd: random.Random) -> str | None:
+    """A text cut at a random place after its first third, three in ten with a sign of loss; None if it is too short to cut."""
+    if len(t) <= 12:
+        return None
+    cut = t[: rnd.randrange(len(t) // 3, len(t) - 1)]
+    if rnd.random() < 0.3:
+        cut = cut.rstrip() + rnd.choice(["…", "...", "\ufffd", "…[cut]", " [truncated]"])
+    return None if is_blank(cut) else cut
+
+
+def train(texts: list[tuple[str, bool]], seed: int = 7, steps: int = 200, rate: float = 0.3, l2: float = 1e-3) -> np.ndarray:
+    """Weights of the logistic regression from (text, whether it fills its field).
+
+    Intact values (closed structure) are negatives, a seventh of them as if they happened to fill
+    their field; a random cut of each that is no bare answer is a positive, made by a field limit (so
+    that it fills the field) or in transfer (so that it does not), at even odds. Both classes weigh the same.
+    """
     rnd = random.Random(seed)
     rows, y = [], []
-    for t in texts:
-        kind = ending(t)
-        if kind.startswith("cut") or kind == "blank":
+    for t, full in texts:
+        if is_blank(t):
             continue
-        rows.append(features(t, rnd.random() < 0.2))
+        c = closing(t)
+        if not c.intact():
+            continue
+        rows.append(features(t, full or rnd.random() < 1 / 7))
         y.append(0.0)
-        if kind != "bare" and len(t) > 12:
-            cut = t[: rnd.randrange(len(t) // 3, len(t) - 1)]
-            if rnd.random() < 0.3:
-                cut = cut.rstrip() + rnd.choice(["…", "...", "�", "…[cut]", " [truncated]"])
-            if ending(cut).startswith("cut"):
-                rows.append(features(cut, rnd.random() < 0.7))
-                y.append(1.0)
+        cut = None if c.bare else artificial_cut(t, rnd)
+        if cut:
+            rows.append(features(cut, rnd.random() < 0.5))
+            y.append(1.0)
     w = np.zeros(DIMS)
     if not rows or len(set(y)) < 2:
         return w
@@ -89,35 +113,50 @@ def train(texts: list[str], seed: int = 7, steps: int = 200, rate: float = 0.3,
     return w
 
 
-def probability(w: np.ndarray, feats: list[list[int]]) -> np.ndarray:
-    return 1 / (1 + np.exp(-w[np.array(feats, dtype=np.int64)].sum(1))) if feats else np.zeros(0)
+def probability(w: np.ndarray, feats: list[list[int]], prior: float = 0.25) -> np.ndarray:
+    """Probability that a text is cut; `prior` is the share of cut records expected, as training weighs both classes alike."""
+    return 1 / (1 + np.exp(-w[np.array(feats, dtype=np.int64)].sum(1)) * (1 - prior) / prior) if feats else np.zeros(0)
+
+
+def with_limits(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with limit_chars and limit_bytes of each row's source."""
+    return join_small(df, field_limits(df, "source", text), {"source": "source"})
 
 
 def fit(df: DataFrame, text: str = "text", key: str = "row_id", sample_rows: int = 8000) -> np.ndarray:
-    """Fit on at most `sample_rows` rows, the first by hash of key and text (the same for the same table).
+    """Fit on at most `sample_rows` rows of df(key, source, text), the first by hash of key and text
+    (the same for the same table), whatever their length.
 
     Each task keeps its first rows, so only the sample is moved; repeated texts count once.
     """
-    t = df.filter(F.col(text).isNotNull() & (F.length(text) < 20_000)).select(F.xxhash64(key, text).alias("h"), text)
-    got = t.orderBy("h").limit(sample_rows).collect()
-    return train(list(dict.fromkeys(r[text] for r in got)))
+    t = df.filter(F.col(text).isNotNull()).select(F.xxhash64(key, text).alias("h"), "source", text)
+    got = join_small(t.orderBy("h").limit(sample_rows), field_limits(df, "source", text), {"source": "source"}).orderBy("h").collect()
+    nan = float("nan")
+    return train(list(dict.fromkeys((r[text], _fills(r[text], r["limit_chars"] or nan, r["limit_bytes"] or nan)) for r in got)))
+
+
+def judge(texts: list[str], chars: list[float], size: list[float], weights: np.ndarray, tail: bool = False) -> np.ndarray:
+    """Probability that each text stops before its end; 0 for blank ones, which are no case. Equal texts are judged once."""
+    seen: dict[tuple[str, bool], int] = {}
+    at = [seen.setdefault((t, not tail and _fills(t, c, b)), len(seen)) for t, c, b in zip(texts, chars, size)]
+    blank = np.array([is_blank(t) for t, _ in seen], dtype=bool)
+    p = probability(weights, [features(t, f, tail) for t, f in seen])
+    return np.where(blank, 0.0, p)[at] if seen else np.zeros(0)
 
 
-def score(df: DataFrame, weights: np.ndarray, tail: bool = False, threshold: float = 0.05) -> DataFrame:
-    """Score every record of df(row_id, source, text): SCORED columns.
+def score(df: DataFrame, weights: np.ndarray, tail: bool = False, threshold: float = 0.5) -> DataFrame:
+    """Score every record of df(row_id, source, text): SCORED columns; truncated where the probability exceeds `threshold`.
 
-    Null, empty and blank texts, placeholders and bare answers are never truncated; whole texts are
-    read, however long. A repeated record gives repeated rows.
+    Null, empty and blank texts and placeholders have probability 0; whole texts are read, however
+    long. A repeated record gives repeated rows.
     """
-    d = join_small(df.select("row_id", "source", "text"), field_limits(df), {"source": "source"})
+    d = with_limits(df.select("row_id", "source", "text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             texts = [t if isinstance(t, str) else "" for t in p["text"]]
-            full = [_fills(t, c, b) for t, c, b in zip(texts, p["limit_chars"].astype(float), p["limit_bytes"].astype(float))]
-            prob = probability(weights, [features(t, f, tail) for t, f in zip(texts, full)])
-            kind = ["blank" if not t else "unlikely" if q < threshold else ending(t, f, tail) for t, f, q in zip(texts, full, prob)]
-            yield pd.DataFrame({"row_id": p["row_id"], "source": p["source"], "probability": prob, "kind": kind, "truncated": [k.startswith("cut") for k in kind]})
+            prob = judge(texts, p["limit_chars"].astype(float).tolist(), p["limit_bytes"].astype(float).tolist(), weights, tail)
+            yield pd.DataFrame({"row_id": p["row_id"], "source": p["source"], "probability": prob, "truncated": prob > threshold})
 
     return d.mapInPandas(run, SCORED)
 

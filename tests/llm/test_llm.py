@@ -8,7 +8,7 @@ import unicodedata
 import numpy as np
 import pytest
 
-from quaesta.llm import encode, lookalike, packing, pairs, texts, truncation
+from quaesta.llm import encode, languages, lookalike, packing, pairs, refusals, texts, truncation
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(os.path.join(encode.TOKENIZERS, "byte_bpe_50k.tiktoken")), reason="no tokenizer files")
 SENTENCES = ["Retry 5 kept the same charge.", "The field strength of the coil is 61.5 kV/m.", "Every courier who paints the hull also opens the vault.", "Insert the numbers: $U = 4.3 \\cdot 79.7 = 9.9$.", "We're told that the shunt carries 12 A at t = 3 s."]
@@ -24,37 +24,41 @@ def sample(n, seed):
     return out
 
 
-@pytest.mark.parametrize(
-    "t,kind",
-    [
-        ("The field of the", "cut"), ("A <reasoning> Done.", "cut"), ("Sum: $x = 3", "cut"), ("so it goes…", "cut"), ("and then [truncated]", "cut"), ("lost �", "cut"), ("x\n```\nsolve(", "cut"), ("see (the coil is hot.", "cut"), ("<answer>5</ans", "cut"), ("The steps 1, 2, ...", "cut"),
-        ("Done.", "finished"), ("Steps 1, 2, ... are routine and were cut from the log.", "finished"), ("He left.\n\nAnswer: 5 A", "result"), ("x. ∎", "finished"), ("`a`\n```\nsolve(3) = 4\n```", "finished"), ("(It is hot.)", "finished"),
-        ("5.3 kV/m", "bare"), ("Unknown", "bare"), ("No", "bare"), ("", "blank"), (None, "blank"), ("N/A", "blank"), ("...", "blank"), ("[no output]", "blank"), ("​", "blank"),
-    ],
-)
-def test_endings(t, kind):
-    assert texts.ending(t).split(":")[0] == kind
+@pytest.fixture(scope="module")
+def weights():
+    bare = [f"{i}.{i % 7} {u}" for i in range(20) for u in ("V", "A", "kg", "mJ")] + ["Yes", "B", "True", "Uncertain"] * 8
+    return truncation.train([(t, False) for t in sample(2000, 1) + bare])
+
 
+CUT = ["The field of the", "A <reasoning> Done.", "Sum: $x = 3", "so it goes…", "and then [truncated]", "lost \ufffd", "x\n```\nsolve(", "see (the coil is hot.", "<answer>5</ans", "The steps 1, 2, ..."]
+WHOLE = ["Done.", "Steps 1, 2, ... are routine and were cut from the log.", "He left.\n\nAnswer: 5 A", "x. ∎", "(It is hot.)", "`a`\n```\nsolve(3) = 4\n```", "5.3 kV/m", "Unknown", "No"]
+BLANK = ["", None, "N/A", "...", "[no output]", "\u200b", " \n"]
 
-def test_truncation_on_held_out_cuts(spark):
-    w = truncation.train(sample(800, 1))
+
+def test_the_score_decides(spark, weights):
+    rows = list(enumerate([*CUT, *WHOLE, *BLANK]))
+    df = spark.createDataFrame([(i, "s", t) for i, t in rows], "row_id bigint, source string, text string")
+    got = {r["row_id"]: r for r in truncation.score(df, weights).collect()}
+    assert [t for i, t in rows if got[i]["truncated"] != (t in CUT)] == []
+    assert all(got[i]["probability"] == 0 for i, t in rows if t in BLANK)
+    assert truncation.score(df, np.zeros(truncation.DIMS)).filter("truncated").count() == 0  # no weights, no rows
+
+
+def test_truncation_on_held_out_cuts(spark, weights):
     rnd = random.Random(2)
     rows = []
-    for i, t in enumerate(sample(400, 3)):
-        rows.append((2 * i, "s", t))
-        cut = t[: rnd.randrange(len(t) // 3, len(t) - 2)]
-        if texts.ending(cut).startswith("cut"):
-            rows.append((2 * i + 1, "s", cut))
-    got = {r["row_id"]: r for r in truncation.score(spark.createDataFrame(rows, "row_id bigint, source string, text string"), w).collect()}
-    right = np.mean([(got[i]["probability"] >= 0.5) == bool(i % 2) for i, *_ in rows])
-    assert right > 0.95
-    assert np.mean([got[i]["truncated"] == bool(i % 2) for i, *_ in rows]) > 0.99
-
-
-def test_truncation_edges(spark):
+    for i, t in enumerate(sample(600, 3)):
+        rows += [(2 * i, "s", t), (2 * i + 1, "s", t[: rnd.randrange(len(t) // 3, len(t) - 2)])]
+    got = {r["row_id"]: r["truncated"] for r in truncation.score(spark.createDataFrame(rows, "row_id bigint, source string, text string"), weights).collect()}
+    assert np.mean([not got[2 * i] for i in range(600)]) > 0.99
+    # cuts right after a sentence cannot be told; none of the cuts was chosen by a rule
+    assert np.mean([got[2 * i + 1] for i in range(600)]) > 0.93
+
+
+def test_truncation_edges(spark, weights):
     rows = [(1, None, None), (2, "a", ""), (3, "a", "  "), (4, None, "The word is cu"), (5, "a", "x " * 50_000 + "and then the"), (5, "a", "x " * 50_000 + "and then the")]
     df = spark.createDataFrame(rows, "row_id bigint, source string, text string")
-    s = truncation.score(df, truncation.train(sample(300, 1)))
+    s = truncation.score(df, weights)
     assert {r["row_id"] for r in s.filter("truncated").collect()} == {4, 5}
     rates = {r["source"]: (r["n_records"], r["n_truncated"]) for r in truncation.truncation_rates(s).collect()}
     assert rates == {None: (2, 1), "a": (3, 1)}
@@ -62,6 +66,12 @@ def test_truncation_edges(spark):
     assert truncation.score(empty, truncation.fit(empty)).count() == 0
 
 
+def test_long_texts_reach_the_sample(spark):
+    long = "The coil is hot. " * 4000
+    df = spark.createDataFrame([(i, "s", long) for i in range(3)] + [(9, "s", "The relay is slow.")], "row_id bigint, source string, text string")
+    assert np.abs(truncation.fit(df)).sum() > 0 and len(long) > 50_000
+
+
 def test_field_limits(spark):
     rows = [("a", "x" * 40)] * 5 + [("a", "y" * 7), ("b", "z" * 30), ("b", None), (None, "é" * 25)]
     got = {r["source"]: (r["limit_chars"], r["limit_bytes"]) for r in truncation.field_limits(spark.createDataFrame(rows, "source string, text string")).collect()}
@@ -69,6 +79,25 @@ def test_field_limits(spark):
 
 
 Q = "How large is the flux of a coil when its charge reaches 3.5 mA?"
+SPOKEN = {
+    "en": ["The charge stays the same after the switch opens.", "Every baker who paints the hull also opens the vault.", "From this it follows that the force is zero.", "The coil is hot and the answer is declined here.", "How large is the flux of a coil when its charge reaches a value?", "The premises do not allow a conclusion about this hall.", "Thermal losses are small and the sign decides."],
+    "fr": ["La charge reste inchangée après la coupure du courant.", "On en déduit que la force est nulle dans ce cas.", "Les pertes thermiques sont négligées dans cet exercice.", "Chaque boulanger qui peint la coque ouvre aussi le coffre."],
+    "zh": ["断开电源以后，电荷保持不变。", "储存的能量减小为原来的一半。", "每个面包师都打开保险柜。"],
+    "ru": ["Тепловые потери здесь не учитываются.", "По условию всё верно, заряд не меняется.", "Каждый пекарь открывает хранилище."],
+}
+
+
+def spoken(seed, n, names=SPOKEN):
+    rnd = random.Random(seed)
+    rows = [(" ".join(rnd.choices(SPOKEN[x], k=3)), x) for x in names for _ in range(n)]
+    rnd.shuffle(rows)
+    return rows
+
+
+@pytest.fixture(scope="module")
+def models(weights):
+    rows = spoken(3, 60)
+    return pairs.Models(weights, refusals.fit_threshold(SENTENCES), languages.train([t for t, _ in rows], [x for _, x in rows]))
 
 
 @pytest.mark.parametrize(
@@ -82,8 +111,54 @@ Q = "How large is the flux of a coil when its charge reaches 3.5 mA?"
         ("La charge reste inchangée après la coupure. On en déduit que la force est nulle.", "x", "language"), ("储存的能量减小为原来的。断开电源以后，电荷保持不变。", "x", "language"), ("Тепловые потери здесь не учитываются. По условию всё верно.", "x", "language"), ("$3 = 4$ \\[ \\boxed{5} \\]", "5", ""),
     ],
 )
-def test_defects(response, extracted, defect):
-    assert pairs.defect(response, extracted, Q, "en", False, True, False) == defect
+def test_defects(models, response, extracted, defect):
+    have = languages.languages(models.languages, [response or ""])[0]
+    assert pairs.defect(response, extracted, Q, False, "en", "" if have == "other" else have, True, models.threshold) == defect
+
+
+def test_long_refusals_and_long_clipped_questions(models):
+    long = "Thanks for the question about the coil and the shunt. " * 60
+    assert refusals.is_refusal(long + "I'm sorry, but I can't help with this request.", models.threshold)
+    assert not refusals.is_refusal(long, models.threshold)
+    full = "If the welder of dock 80 reads the manual, " + "and the baker of hall 7 paints the hull, " * 12 + "must it be true that someone opens the vault?"
+    stub = full[:100]
+    assert texts.is_copy(full, stub) and texts.is_copy("You asked: " + full, stub)
+    assert not texts.is_copy(full + " Since the welder reads it, the vault is opened by the second rule." * 3, stub)
+    assert not texts.is_copy(stub[:60], stub)
+
+
+def test_refusals_in_other_words(models):
+    """None of these sentences is a template's; they were written after the lexicon was settled."""
+    said = [
+        "I shall not answer the exercise you sent.", "My instructions do not permit me to solve exam problems.", "I have decided to refrain from giving a solution.", "Sorry, I cannot discuss that question.", "It would violate the policy to answer this request.",
+        "I'm not willing to work on this task.", "We regret that I am incapable of handling this query.", "An answer to this request will not be provided.", "I do not think I should be the one to solve this, so I decline.", "No help can be given with this item.",
+        "I'm restricted from answering this kind of question.", "Please understand that I won't attempt this problem.", "I'd rather abstain from replying to this.", "Giving solutions to this exam is not something I am able to do.", "Je refuse de répondre à cette question.",
+        "Ich darf diese Aufgabe nicht lösen.", "Tôi không được phép giải đề này.", "Mình từ chối giải bài này.", "我不能解答这个问题。", "Я отказываюсь отвечать на этот вопрос.",
+    ]
+    assert np.mean([refusals.is_refusal(s, models.threshold) for s in said]) >= 0.9
+    answers = [
+        "The question cannot be answered from the premises.", "Premise 3 does not help here.", "The charge does not change, no energy is given off.", "No answer option fits better than B.", "We do not know whether the baker answers the question.", "Nobody who declines a shift can answer the phone.",
+        "The request desk does not open when the guard refuses.", "It is not possible to infer that the baker answers.", "The given data are not sufficient to answer this question.",
+    ]
+    assert not [s for s in answers if refusals.is_refusal(s, models.threshold)]
+
+
+def test_refusal_threshold_follows_the_solutions():
+    assert refusals.fit_threshold([]) == 0.7
+    assert refusals.fit_threshold(["I cannot help with this request."] * 10) == 0.95
+
+
+def test_languages_held_out():
+    rows = spoken(5, 80)
+    model = languages.train([t for t, _ in rows], [x for _, x in rows])
+    test = spoken(6, 20)
+    assert np.mean([a == x for a, (_, x) in zip(languages.languages(model, [t for t, _ in test]), test)]) > 0.97
+    known = spoken(7, 80, ["en", "fr"])
+    model = languages.train([t for t, _ in known], [x for _, x in known])
+    unseen = [t for t, _ in spoken(8, 20, ["zh", "ru"])] + ["La carica del condensatore rimane invariata dopo il distacco della batteria.", "電池を外した後、電荷は変わりません。したがってエネルギーは減少します。"]
+    assert np.mean([x == "other" for x in languages.languages(model, unseen)]) > 0.9
+    assert languages.languages(model, ["", "5 A", "does not change", "Answer: unknown", "$the = force$"]) == [""] * 5
+    assert languages.languages(languages.train([], []), ["The coil is hot."]) == [""]
 
 
 def test_lcs_against_brute_force():
@@ -95,12 +170,12 @@ def test_lcs_against_brute_force():
         assert texts.lcs(a, b) == max(len(c) for c in subs & sub_b)
 
 
-def test_pairs_table(spark):
+def test_pairs_table(spark, models):
     cols = "sample_id bigint, source string, response string, extracted string, question string, lang string"
     rows = [(1, "s", None, None, Q, "en"), (2, "s", "The flux of the co", "x", Q, "en"), (3, "s", "It is 5.", "5", None, None), (4, None, Q, "x", Q, None), (1, "s", None, None, Q, "en")]
-    got = sorted((r["sample_id"], r["defect"]) for r in pairs.broken_pairs(spark.createDataFrame(rows, cols), truncation.train(sample(300, 1))).collect())
+    got = sorted((r["sample_id"], r["defect"]) for r in pairs.broken_pairs(spark.createDataFrame(rows, cols), models).collect())
     assert got == [(1, "empty"), (2, "truncated"), (4, "copy")]
-    assert pairs.broken_pairs(spark.createDataFrame(rows[:0], cols), truncation.train([])).count() == 0
+    assert pairs.broken_pairs(spark.createDataFrame(rows[:0], cols), models).count() == 0
 
 
 @needs_vocabulary
@@ -231,19 +306,19 @@ def test_extra_columns_with_clashing_names(spark):
 def test_copies_in_texts_that_begin_anywhere():
     q = "If the lighthouse keeper of dock 42 calibrates the scale, must it be true that someone passes the drill?"
     cut = q[:100]
-    assert texts.is_copy(q, cut, True) and texts.is_copy(f"Question: {q}", cut, True)
-    assert texts.is_copy(f"passes the drill?\n</reasoning>\n<answer>{q}</answer>", cut, True)
-    assert texts.is_copy(f"ll?\n</reasoning>\n<answer>{Q}</answer>", Q, True)
-    assert not texts.is_copy("must it be true that someone passes the drill?", cut, True)
-    assert not texts.is_copy(f"{q} The current of the coil is small. Retry 5 kept the same charge over here. <answer>B</answer>", cut, True)
-    assert not texts.is_copy("No", q, False) and not texts.is_copy("", q, False) and not texts.is_copy(q, None, False)
+    assert texts.is_copy(q, cut) and texts.is_copy(f"Question: {q}", cut)
+    assert texts.is_copy(f"passes the drill?\n</reasoning>\n<answer>{q}</answer>", cut)
+    assert texts.is_copy(f"ll?\n</reasoning>\n<answer>{Q}</answer>", Q)
+    assert not texts.is_copy("must it be true that someone passes the drill?", cut)
+    assert not texts.is_copy(f"{q} The current of the coil is small. Retry 5 kept the same charge over here. <answer>B</answer>", cut)
+    assert not texts.is_copy("No", q) and not texts.is_copy("", q) and not texts.is_copy(q, None)
 
 
 def test_long_refusals_count():
     question = "A student who holds a permit may enter the archive, and the archive is open on each day that the vault is closed. " * 4
     why = "The premises name several people and several rules, and each of them would have to be weighed with care. " * 8
     for t in (question + "I am unable to help with this. " + why, "I'm sorry, but I cannot answer that. " + why + question, why + question + "So I must decline to answer."):
-        assert len(texts.tokens(t)) > 120 and texts.is_refusal(t)
-    assert not texts.is_refusal(question + why)
-    assert not texts.is_refusal(question + "At first it seems that one cannot answer this. " + why + "<answer>B</answer>")
-    assert not texts.is_refusal("I cannot answer at once. " + why + "\nAnswer: 12 V")
+        assert len(texts.tokens(t)) > 120 and refusals.is_refusal(t)
+    assert not refusals.is_refusal(question + why)
+    assert not refusals.is_refusal(question + "At first it seems that one cannot answer this. " + why + "<answer>B</answer>")
+    assert not refusals.is_refusal("I cannot answer at once. " + why + "\nAnswer: 12 V")
