@@ -1,13 +1,14 @@
 """Filling windows of fixed capacity with texts: Karmarkar-Karp multiway differencing in groups.
 
 Texts are dealt by hash into groups of about `windows_per_group` windows. Within a group the method
-merges partial partitions with opposing imbalances, which gives near-equal windows; the number of
-windows rises whenever one exceeds the capacity. A text is divided only if it alone exceeds the
+merges partial partitions with opposing imbalances, which gives near-equal windows; overfull
+windows and some with room are filled anew by best fit, and the number of windows rises whenever items are left. A text is divided only if it alone exceeds the
 capacity. Groups are of bounded size at any scale, and each is one task's small piece of work.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quaesta.common import durable
 
-WINDOWS = "window_id int, capacity int, window bigint, doc_id bigint, piece int, start bigint, n_tokens bigint"
+WINDOWS = "window_id int, capacity int, window string, doc_id bigint, piece int, start bigint, n_tokens bigint"
 
 
 def differencing(sizes: list[int], k: int) -> tuple[list[int], int]:
@@ -59,18 +60,62 @@ def differencing(sizes: list[int], k: int) -> tuple[list[int], int]:
     return label[parent].tolist(), int(s[0])
 
 
+def best_fit(items: list[int], sizes: list[int], rooms: list[tuple[int, int]]) -> tuple[dict[int, int], list[int]]:
+    """Bin of each item, the largest first, where it leaves the least of the given (room, bin); and the items that fit nowhere."""
+    rooms = sorted(rooms)
+    put, left = {}, []
+    for i in sorted(items, key=lambda i: (-sizes[i], i)):
+        at = bisect.bisect_left(rooms, (sizes[i], -1))
+        if at == len(rooms):
+            left.append(i)
+            continue
+        room, b = rooms.pop(at)
+        put[i] = b
+        bisect.insort(rooms, (room - sizes[i], b))
+    return put, left
+
+
+def repair(sizes: list[int], bins: list[int], k: int, capacity: int) -> int:
+    """Empty the overfull bins and some of the roomiest, and put their items by best fit into these and
+    what room the others have; twice as many bins are opened until no item is left. In place; the sizes
+    left over when all bins were opened."""
+    used = [0] * k
+    content: list[list[int]] = [[] for _ in range(k)]
+    for i, b in enumerate(bins):
+        used[b] += sizes[i]
+        content[b].append(i)
+    order = sorted(range(k), key=lambda b: (used[b] <= capacity, used[b]))
+    open_ = 2 * sum(u > capacity for u in used) + 2
+    while True:
+        mine = order[:open_]
+        chosen = set(mine)
+        rooms = [(capacity, b) for b in mine] + [(capacity - used[b], b) for b in range(k) if b not in chosen]
+        put, left = best_fit([i for b in mine for i in content[b]], sizes, rooms)
+        if not left:
+            for i, b in put.items():
+                bins[i] = b
+            return 0
+        if open_ >= k:
+            return sum(sizes[i] for i in left)
+        open_ *= 2
+
+
 def fill(sizes: list[int], capacity: int) -> tuple[list[int], int]:
-    """Bin of each item (all at most `capacity`) and the number of bins."""
-    total = sum(sizes)
-    k = max(1, -(-total // capacity))
+    """Bin of each item (all at most `capacity`) and the number of bins.
+
+    The number starts at the least possible one. Differencing makes the bins near-equal, the few that
+    are overfull are repaired by best fit; if that fails, the number rises by what is left over.
+    """
+    k = max(1, -(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
     while True:
         bins, most = differencing(sizes, k)
-        if most <= capacity:
+        left = repair(sizes, bins, k, capacity) if most > capacity else 0
+        if not left:
             return bins, k
-        k += max(1, k // 100)
+        k += max(1, left // capacity)
 
 
-def pack(sizes: DataFrame, windows: DataFrame, windows_per_group: int = 96) -> DataFrame:
+def pack(sizes: DataFrame, windows: DataFrame, windows_per_group: int = 224) -> DataFrame:
     """Windows of each capacity: WINDOWS columns, one row per document (or piece of one) and capacity.
 
     sizes: doc_id, n_tokens; windows: window_id, capacity (a small fixed table, read to the driver).
@@ -107,13 +152,13 @@ def pack(sizes: DataFrame, windows: DataFrame, windows_per_group: int = 96) -> D
                 size = [int(x["n_tokens"]) for x in it if x["n_tokens"] > 0]
                 bins, _ = fill(size, r.capacity) if size else ([], 1)
                 for x, b in zip(it, [*bins, *[0] * (len(it) - len(bins))]):
-                    out.append((r.window_id, r.capacity, r.grp * 1_000_000 + b, x["doc_id"], x["piece"], x["start"], x["n_tokens"]))
+                    out.append((r.window_id, r.capacity, f"g{r.grp}:{b}", x["doc_id"], x["piece"], x["start"], x["n_tokens"]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in WINDOWS.split(", ")])
 
     grouped = rest.groupBy("window_id", "capacity", "grp").agg(F.collect_list(F.struct("doc_id", "piece", "start", "n_tokens")).alias("items"))
     packed = grouped.repartition("window_id", "grp").mapInPandas(run, WINDOWS)
-    # windows that one piece fills alone: numbered by document and piece, below zero
-    own = whole.select("window_id", "capacity", (-1 - F.abs(F.xxhash64("doc_id", "piece") % (1 << 61))).alias("window"), "doc_id", "piece", "start", "n_tokens")
+    # windows that one piece fills alone are named after document and piece
+    own = whole.select("window_id", "capacity", F.concat(F.lit("d"), "doc_id", F.lit(":"), "piece").alias("window"), "doc_id", "piece", "start", "n_tokens")
     return packed.unionByName(own)
 
 

@@ -231,7 +231,7 @@ def test_packing(spark):
             p = sorted(parts[i])
             assert len(p) == 1 or n > cap
             assert all(a + b == c for (a, b), (c, _) in zip(p, p[1:]))
-        assert sum(used.values()) / (len(used) * cap) > 0.85
+        assert sum(used.values()) / (len(used) * cap) > 0.9
     assert packing.pack(df.limit(0), w).count() == 0
     assert packing.pack(df, w.limit(0)).count() == 0
 
@@ -269,6 +269,37 @@ def test_lookalikes_against_brute_force(spark):
     assert lookalike.lookalike_pairs(df.limit(0)).count() == 0
 
 
+def test_all_odd_characters_are_suspect():
+    odd = set(lookalike.suspect_characters())
+    for i in range(0x80, 0x110000):
+        c = chr(i)
+        if not 0xD800 <= i < 0xE000 and (lookalike.fold(c) != c or c in lookalike.ALIKE or unicodedata.combining(c) or unicodedata.normalize("NFC", c) != c):
+            assert i in odd, hex(i)
+    for a, b in (("X marks", "Χ marks"), ("한국 글", unicodedata.normalize("NFD", "한국 글")), ("Kelvin", "\u212aelvin")):
+        assert lookalike.suspect(b) and lookalike.fold(a) == lookalike.fold(b)
+
+
+def test_the_automaton_decides_readings(spark, monkeypatch):
+    docs = [(1, "The model holds."), (2, "The mode\u04c0 holds."), (3, "\u04c0n a hall"), (4, "In a hall"), (5, "kapaI x"), (6, "kapa\u0399 x"), (7, "Χ marks"), (8, "X marks"), (9, "한국 글"), (10, unicodedata.normalize("NFD", "한국 글"))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for frequent in (0, 3, 20_000):
+        form = {r["doc_id"]: r["form"] for r in lookalike.consistent_text(df, frequent=frequent).collect()}
+        # what is an I elsewhere is an l where the vocabulary has the word
+        assert form[2] == form[1] and form[3] == form[4] and form[6] == form[5] and form[7] == form[8] and form[9] == form[10]
+    pairs_ = sorted(tuple(r) for r in lookalike.lookalike_pairs(df).collect())
+    assert pairs_ == [(1, 2), (3, 4), (5, 6), (7, 8), (9, 10)]
+    # by the table alone the first pair is lost
+    assert lookalike.fold(docs[1][1]) != lookalike.fold(docs[0][1])
+
+
+def test_hot_texts_give_their_pairs_only(spark):
+    docs = [(i, "The copper rod is warm.") for i in range(300)] + [(1000 + i, "The cоpper rod is warm.") for i in range(2)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert lookalike.lookalike_pairs(df).count() == 600
+    links = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in lookalike.lookalike_classes(df).collect()}
+    assert len(links) == 302 and links[5] == (0, 2) and links[1001] == (0, 300)
+
+
 def test_trie_finds_by_zero_cost_edits():
     t = lookalike.Trie()
     for w, n in (("efficiency", 9), ("office", 2), ("Шаг", 3)):
