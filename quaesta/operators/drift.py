@@ -1,6 +1,6 @@
 """Schemas that drift between the files of a series: changes, renames, one unified table.
 
-Records are profiled per (file, field) by partial aggregation (types, a 64-bit value sketch, value
+Records are profiled per (file, field) by partial aggregation (types, a sketch of the values, value
 range), so what is compared between neighbouring files is one small row per field, however many
 records a file has. The neighbouring file is found by blocks of time, so that a series holding a
 third of all files is not ordered in one task.
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaesta.common import previous_in_order
+from quaesta.common import durable, previous_in_order
 from quaesta.functions.matching import assignment, name_similarity
 
 CHANGES = "series string, file_name string, change string, field string, new_field string"
@@ -41,15 +41,26 @@ def fields_of(records: DataFrame) -> DataFrame:
     return r.select("series", "file_name", "record_no", "field", json_type(F.col("value")).alias("kind"), F.col("value").cast("string").alias("value"))
 
 
-def profiles(fields: DataFrame) -> DataFrame:
-    """One row per (series, file, field). Repeated records change nothing in it."""
+def profiles(fields: DataFrame, buckets: int = 64) -> DataFrame:
+    """One row per (series, file, field): kinds, sketch, low, high. Repeated records change nothing in it.
+
+    The sketch is the least hash in each of `buckets` parts of the values' hashes: it never fills up,
+    and two fields agree in a part if their least value there is the same.
+    """
     number = F.regexp_replace("value", r'^"|"$', "").try_cast("double")
-    return fields.groupBy("series", "file_name", "field").agg(
+    h = F.xxhash64("value")
+    part = fields.groupBy("series", "file_name", "field", "kind", F.when(F.col("value").isNotNull(), F.pmod(h, F.lit(buckets)).cast("int")).alias("bucket")).agg(
+        F.min(h).alias("least"), F.min(number).alias("low"), F.max(number).alias("high")
+    )
+    part = part.groupBy("series", "file_name", "field").agg(
         F.array_sort(F.collect_set("kind")).alias("kinds"),
-        F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(value), 64) as int))")).alias("sketch"),
-        F.min(number).alias("low"),
-        F.max(number).alias("high"),
+        F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "least"))).alias("s"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
     )
+    # values of several types may share a part: the least of them counts
+    least = F.array_sort(F.transform("s", lambda x: F.struct(x["bucket"], x["least"])))
+    return part.select("series", "file_name", "field", "kinds", F.transform(F.filter(least, lambda x, i: (i == 0) | (F.get(least, i - 1)["bucket"] != x["bucket"])), lambda x: x["least"]).alias("sketch"), "low", "high")
 
 
 def file_order(files: DataFrame) -> DataFrame:
@@ -59,7 +70,13 @@ def file_order(files: DataFrame) -> DataFrame:
     """
     t = F.coalesce(F.nullif(F.regexp_extract("file_name", _TIME, 1), F.lit("")), F.lit(""))
     f = files.select("series", "file_name", t.alias("at"))
-    return previous_in_order(f, ["series"], "at", F.substring("at", 1, 6), "file_name", "previous").select("series", "file_name", "previous")
+    return previous_in_order(f, ["series"], "at", F.substring("at", 1, 11), "file_name", "previous").select("series", "file_name", "previous")
+
+
+def _overlap(a: dict, b: dict) -> float:
+    """Share of the smaller sketch that the other has too."""
+    x, y = set(a["sketch"]), set(b["sketch"])
+    return len(x & y) / max(1, min(len(x), len(y)))
 
 
 def _value_similarity(a: dict, b: dict) -> float:
@@ -67,8 +84,7 @@ def _value_similarity(a: dict, b: dict) -> float:
     if not len(a["kinds"]) or not len(b["kinds"]):
         return 0.5
     same = float(set(a["kinds"]) == set(b["kinds"]))
-    x, y = int(a["sketch"] or 0) & (2**64 - 1), int(b["sketch"] or 0) & (2**64 - 1)
-    overlap = (x & y).bit_count() / max(1, min(x.bit_count(), y.bit_count()))
+    overlap = _overlap(a, b)
     if pd.notna(a["low"]) and pd.notna(b["low"]):
         lo, hi = max(a["low"], b["low"]), min(a["high"], b["high"])
         span = max(a["high"], b["high"]) - min(a["low"], b["low"])
@@ -76,12 +92,25 @@ def _value_similarity(a: dict, b: dict) -> float:
     return 0.5 * same + 0.5 * overlap
 
 
+def _same_values(a: dict, b: dict, least: int = 8) -> float:
+    """Agreement of values alone, 0 unless it says something: same types, `least` or more different
+    values on both sides, and more than half of them shared."""
+    if set(a["kinds"]) != set(b["kinds"]) or min(len(a["sketch"]), len(b["sketch"])) < least:
+        return 0.0
+    shared = _overlap(a, b)
+    return shared if shared > 0.5 else 0.0
+
+
 def match_fields(removed: list[dict], added: list[dict], threshold: float = 0.5) -> list[tuple[int, int]]:
-    """Pairs (removed, added) that are the same field: maximum-weight matching on name and value similarity."""
+    """Pairs (removed, added) that are the same field: maximum-weight matching on name and value similarity.
+
+    Where the names have little in common, the values alone decide, if there are enough different ones.
+    """
 
     def score(a: dict, b: dict) -> float:
         name = name_similarity(a["field"], b["field"])
-        return 0.0 if name < 0.45 else 0.75 * name + 0.25 * _value_similarity(a, b)
+        by_name = 0.0 if name < 0.45 else 0.75 * name + 0.25 * _value_similarity(a, b)
+        return max(by_name, 0.9 * _same_values(a, b))
 
     flip = len(removed) > len(added)
     rows, cols = (added, removed) if flip else (removed, added)
@@ -103,15 +132,16 @@ def _changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["series", "file_name", "change", "field", "new_field"])
 
 
-def schema_changes(records: DataFrame) -> DataFrame:
+def schema_changes(records: DataFrame, prof: DataFrame | None = None) -> DataFrame:
     """Every change of a top-level field against the previous file of the series (see CHANGES).
 
     change is added, removed, renamed or retyped. A file without any readable record has no fields:
     it is skipped, and the next file is compared with the one before. Fields whose values are all
     null have no type and are never retyped. The first file of a series has no changes. Rows with a
-    null file_name are left out; a null series is a series of its own.
+    null file_name are left out; a null series is a series of its own. `prof` are the records' profiles,
+    if they are there already; they are written once, as they are compared with themselves.
     """
-    prof = profiles(fields_of(records))
+    prof = durable(profiles(fields_of(records))) if prof is None else prof
     order = file_order(prof.select("series", "file_name").distinct())
     same = lambda a, b: a.eqNullSafe(b)
     now = prof.join(order.filter("previous is not null").select(F.col("series").alias("s2"), F.col("file_name").alias("f2")), same(F.col("series"), F.col("s2")) & (F.col("file_name") == F.col("f2"))).drop("s2", "f2")
@@ -181,9 +211,9 @@ def unified_records(records: DataFrame, fieldless: bool = False) -> DataFrame:
     fields (null, unreadable, no object, '{}', a field named twice) are rows of nulls if `fieldless`,
     else left out; rows with a null file_name are left out.
     """
-    fields = fields_of(records)
-    prof = profiles(fields)
-    names = canonical_names(schema_changes(records), prof)
+    fields = durable(fields_of(records))
+    prof = durable(profiles(fields))
+    names = canonical_names(schema_changes(records, prof), prof)
     kinds: dict[str, set[str]] = {}
     for r in prof.select("field", F.explode("kinds").alias("kind")).distinct().collect():
         kinds.setdefault(names[r["field"]], set()).add(r["kind"])

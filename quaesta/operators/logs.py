@@ -3,7 +3,8 @@
 Scale: the only unbounded key is the log file. Rows are windowed in blocks of line numbers
 (`block_lines`), so a file holding a third of all rows is spread over many tasks; what a block
 needs to know of the earlier ones (open entry, days passed) comes from a table with one row per
-block. One shuffle of the parsed lines; the text itself is not shuffled by `log_entries`.
+block. One shuffle of the parsed lines; the text itself is not shuffled by `log_entries`. The entries
+of the blocks are written once, as both the result and the table of blocks come from them.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Header layouts, tried in this order. Group names: Y M D date, h m s time, z zone,
-# e epoch seconds, l level, c component, t message.
+from quaesta.common import durable
+
+# Header layouts, tried in this order among those that may begin alike. Group names: Y M D
+# date, h m s time, z zone, e epoch seconds, l level, c component, t message.
 LAYOUTS: list[tuple[str, str]] = [
-    ("logfmt", r"^time=(?<Y>\d{4})-(?<M>\d\d)-(?<D>\d\d)[T ](?<h>\d\d):(?<m>\d\d):(?<s>\d\d)(?:[.,]\d+)?(?<z>Z|[+-]\d\d:?\d\d)?(?: level=(?<l>\w+))?(?: component=(?<c>\S+))?(?: msg=(?<t>.*))?"),
+    ("logfmt", r"^time=(?<Y>\d{4})-(?<M>\d\d)-(?<D>\d\d)[T ](?<h>\d\d):(?<m>\d\d):(?<s>\d\d)(?:[.,]\d+)?(?<z>Z|[+-]\d\d:?\d\d)?(?: level=(?<l>\w+))?(?: component=(?<c>\S+))?(?: (?:msg=)?(?<t>.*))?"),
     ("tensor", r"^(?<Y>\d{4})-(?<M>\d\d)-(?<D>\d\d) (?<h>\d\d):(?<m>\d\d):(?<s>\d\d)\.\d+: (?<l>[DIWEFC]) (?<c>[^\s:\]]+)(?::\d+)?\] ?(?<t>.*)"),
     ("dashed", r"^(?<Y>\d{4})-(?<M>\d\d)-(?<D>\d\d)[T ](?<h>\d\d):(?<m>\d\d):(?<s>\d\d)(?:[.,]\d+)?(?<z>Z| ?[+-]\d\d:?\d\d)? - (?<c>\S+) - (?<l>[A-Za-z]+) - (?<t>.*)"),
     ("bracketed", r"^(?<Y>\d{4})-(?<M>\d\d)-(?<D>\d\d)[T ](?<h>\d\d):(?<m>\d\d):(?<s>\d\d)(?:[.,]\d+)?(?<z>Z| ?[+-]\d\d:?\d\d)? \[(?<c>[^\]]*)\] (?<l>(?i:debug|info|warn|warning|error|critical|fatal|notice|trace))\b:? ?(?<t>.*)"),
@@ -29,6 +32,17 @@ LAYOUTS: list[tuple[str, str]] = [
     ("angled", r"^(?<h>\d\d):(?<m>\d\d):(?<s>\d\d)(?:[.,]\d+)? <(?<c>[^>]*)> ?(?<t>.*)"),
     ("epoch", r"^(?<e>\d{10})(?:\.\d+)? \[(?<l>\w+)\] (?:(?<c>[^\s:]+): )?(?<t>.*)"),
 ]
+# How the lines of each group of layouts begin; a line is tried in its group alone.
+GROUPS: list[tuple[str, list[str]]] = [
+    (r"^\d{4}-", ["tensor", "dashed", "bracketed", "dated"]),
+    (r"^\[\d", ["arrowed", "dated", "clock"]),
+    (r"^time=", ["logfmt"]),
+    (r"^\d\d/", ["dayfirst"]),
+    (r"^\d\d:", ["angled"]),
+    (r"^\d{10}", ["epoch"]),
+    (r"^[DIWEFC]\d", ["glog"]),
+    (r"^[JFMASOND][a-z]", ["syslog"]),
+]
 # Words and letters for each level.
 LEVELS = {
     "DEBUG": ["d", "debug", "trace", "verbose"],
@@ -40,20 +54,31 @@ LEVELS = {
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 JSON_KEYS = {"time": ["ts", "@timestamp", "timestamp", "time"], "l": ["level", "severity", "lvl", "levelname"], "c": ["logger", "component", "name"], "t": ["msg", "message", "event"]}
 _FIELDS = "YMDhmszelct"
-_SEP = "\u0001"
+_SEP, _MARK = "\u0001", "\u0002"
 _NAME_TIME = r"_(\d{4})(\d\d)(\d\d)_(\d\d)(\d\d)(\d\d)(?:[_.]|$)"
 
 
-def _layout(pattern: str) -> tuple[str, str]:
-    """Spark's regular expressions take group numbers: the pattern without names, and the replacement
-    that writes the fields in the order of _FIELDS, missing ones empty."""
-    names = re.findall(r"\(\?<([A-Za-z])>", pattern)
-    refs = [f"${names.index(n) + 1}" if n in names else "" for n in _FIELDS]
-    return re.sub(r"\(\?<[A-Za-z]>", "(", pattern), _SEP.join(refs)
+def _cascade(names: list[str]) -> tuple[str, str]:
+    """One pattern for several layouts, and the replacement that writes the fields in the order of
+    _FIELDS, missing ones empty: each field is the group of whichever layout took part.
+
+    Spark's regular expressions take group numbers. Messages may hold carriage returns and the like.
+    """
+    groups: dict[str, list[int]] = {n: [] for n in _FIELDS}
+    n, parts = 0, []
+    for name, pattern in LAYOUTS:
+        if name in names:
+            for g in re.findall(r"\(\?<([A-Za-z])>", pattern):
+                n += 1
+                groups[g].append(n)
+            parts.append(re.sub(r"\(\?<[A-Za-z]>", "(", pattern).removeprefix("^"))
+    refs = ["".join(f"${i}" for i in groups[g]) for g in _FIELDS]
+    return rf"(?s)^(?:{'|'.join(parts)})\z", _MARK + _SEP.join(refs)
 
 
 def header_fields(line: Column) -> Column:
-    """The fields of a header line as one string, joined by U+0001 in the order of _FIELDS; null for any other line."""
+    """The fields of a header line as one string, marked by U+0002 and joined by U+0001 in the order of
+    _FIELDS; null or anything without the mark for other lines."""
     iso = r"^(\d{4})-(\d\d)-(\d\d)[T ](\d\d):(\d\d):(\d\d)(?:[.,]\d+)?(Z| ?[+-]\d\d:?\d\d)?$"
     num = r"^(\d{10})(?:\.\d+)?$"
     first = lambda keys: F.coalesce(*[F.get_json_object(line, f"$['{k}']") for k in keys])
@@ -62,12 +87,15 @@ def header_fields(line: Column) -> Column:
         stamp.rlike(num), F.concat(F.lit(_SEP * 7), F.regexp_replace(stamp, num, "$1"))
     )
     rest = [F.coalesce(first(JSON_KEYS[n]), F.lit("")) for n in "lct"]
-    raw = F.when(line.startswith("{") & line.rlike(r'"(?:@?timestamp|ts|time)"\s*:'), F.when(stamp.isNotNull(), F.concat_ws(_SEP, stamp, *rest)))
-    for _, pattern in LAYOUTS:
-        p, to = _layout(pattern)
-        raw = raw.when(line.rlike(p), F.regexp_replace(line, p + "$", to))
-    # most lines that are no header have no clock at their beginning; they skip the cascade
-    return F.when(line.rlike(r"^(?:\{.*\}\s*|\S.{0,45}?\d\d:\d\d:\d\d.*|\d\d:\d\d:\d\d.*|\d{10}\b.*)$"), raw)
+    raw = F.when(line.startswith("{"), F.when(line.rlike(r'"(?:@?timestamp|ts|time)"\s*:'), F.when(stamp.isNotNull(), F.concat(F.lit(_MARK), F.concat_ws(_SEP, stamp, *rest)))))
+    for begins, names in GROUPS:
+        raw = raw.when(line.rlike(begins), F.regexp_replace(line, *_cascade(names)))
+    return raw
+
+
+def with_header(lines: DataFrame, line: str = "line", out: str = "f") -> DataFrame:
+    """lines with the fields of header lines, null for all other lines; each line is parsed once."""
+    return lines.withColumn("__raw", header_fields(F.col(line))).withColumn(out, F.when(F.col("__raw").startswith(_MARK), F.substr("__raw", F.lit(2)))).drop("__raw")
 
 
 def typed_header(fields: Column, log_file: Column) -> Column:
@@ -125,10 +153,8 @@ def log_entries(lines: DataFrame, block_lines: int = 50_000, message: bool = Fal
     no lines of any file and are left out; headers without date in a file whose name states no
     date get a null logged_at; an empty table gives an empty result.
     """
-    fields = header_fields(F.col("line"))
-    if not message:
-        fields = F.array_join(F.slice(F.split(fields, _SEP, len(_FIELDS)), 1, len(_FIELDS) - 1), _SEP)
-    rows = lines.filter(F.col("log_file").isNotNull() & F.col("line_no").isNotNull()).select(
+    fields = F.col("f") if message else F.substring_index("f", _SEP, len(_FIELDS) - 1)
+    rows = with_header(lines.filter(F.col("log_file").isNotNull() & F.col("line_no").isNotNull()).select("log_file", "line_no", "line")).select(
         "log_file", "line_no", F.floor(F.col("line_no") / block_lines).alias("block"), fields.alias("f"), *([F.col("line")] if message else [])
     )
     rows = rows.repartition("log_file", "block").groupBy("log_file", "block", "line_no").agg(F.max("f").alias("f"), *([F.max("line").alias("line")] if message else []))
@@ -146,6 +172,7 @@ def log_entries(lines: DataFrame, block_lines: int = 50_000, message: bool = Fal
         F.min("backs").alias("backs"),
         *([_in_order(F.when(F.col("h").isNull(), F.struct("line_no", F.coalesce("line", F.lit("")).alias("text")))).alias("more")] if message else []),
     )
+    entries = durable(entries)
     blocks = entries.groupBy("log_file", "block").agg(
         F.max("first_line").alias("last_header"),
         F.max(F.when(F.col("first_line").isNull(), F.col("last_line"))).alias("pre_last"),
@@ -190,9 +217,7 @@ def log_lines(lines: DataFrame, block_lines: int = 50_000) -> DataFrame:
     Lossless counterpart of `log_entries`: log_file, line_no, line, entry_line. A repeated
     (log_file, line_no) is one line; the greatest text is kept should its texts differ.
     """
-    rows = lines.filter(F.col("log_file").isNotNull() & F.col("line_no").isNotNull()).select(
-        "log_file", "line_no", "line", F.floor(F.col("line_no") / block_lines).alias("block"), header_fields(F.col("line")).alias("f")
-    )
+    rows = with_header(lines.filter(F.col("log_file").isNotNull() & F.col("line_no").isNotNull()).select("log_file", "line_no", "line", F.floor(F.col("line_no") / block_lines).alias("block")))
     rows = rows.repartition("log_file", "block").groupBy("log_file", "block", "line_no").agg(F.max("line").alias("line"), F.max("f").alias("f"))
     rows = rows.withColumn("is_header", typed_header(F.col("f"), F.col("log_file")).isNotNull()).drop("f")
     w = Window.partitionBy("log_file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)

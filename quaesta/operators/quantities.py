@@ -81,28 +81,40 @@ def trust(stated: DataFrame) -> dict[str, float]:
 
 
 def histogram(stated: DataFrame, trusted: dict[str, float]) -> list[tuple]:
-    """(kind, factor or None, bin, n) over all rows; kinds, factors and bins are from fixed sets.
+    """(kind, unit or None, factor, bin, n) over all rows; kinds, factors and bins are from fixed sets.
 
-    A row without unit counts as much as its kind is trusted.
+    Units of the same factor are one, named by the commonest. A row without unit counts as much as its
+    kind is trusted.
     """
     h = stated.filter((F.col("kind") != "") & (F.col("number") != 0) & (F.coalesce("shift", F.lit(0.0)) == 0)).groupBy(
-        "kind", F.round(F.log10(F.coalesce("factor", F.lit(0.0)) + F.when(F.col("factor").isNull(), 1.0).otherwise(0.0)), 3).alias("f"), F.when(F.col("factor").isNull(), F.col("guess_source")).alias("open"), F.floor(F.log10(F.abs("number")) / BIN).alias("bin")
+        "kind", "unit", "factor", F.when(F.col("factor").isNull(), F.col("guess_source")).alias("open"), F.floor(F.log10(F.abs("number")) / BIN).alias("bin")
     )
-    return [(r["kind"], None if r["open"] else r["f"], r["bin"], r["n"] * trusted[r["open"]] if r["open"] else r["n"]) for r in h.agg(F.count(F.lit(1)).alias("n")).collect()]
+    rows = h.agg(F.count(F.lit(1)).alias("n")).collect()
+    names: dict[tuple, dict[tuple, int]] = {}
+    for r in rows:
+        if not r["open"]:
+            of = names.setdefault((r["kind"], f"{r['factor']:.9e}"), {})
+            of[(r["unit"], r["factor"])] = of.get((r["unit"], r["factor"]), 0) + r["n"]
+    best = {k: min(v, key=lambda u: (-v[u], u)) for k, v in names.items()}
+    out = []
+    for r in rows:
+        unit, factor = (None, None) if r["open"] else best[(r["kind"], f"{r['factor']:.9e}")]
+        out.append((r["kind"], unit, factor, r["bin"], r["n"] * trusted[r["open"]] if r["open"] else r["n"]))
+    return out
 
 
 def fit(hist: list[tuple], rounds: int = 30) -> dict[str, dict]:
-    """Per kind: mean and deviation of log10(SI value), and the weight of each unit's log10 factor."""
+    """Per kind: mean and deviation of log10(SI value), and each unit with its exact factor and weight."""
     out = {}
     for kind in sorted({h[0] for h in hist}):
         rows = [h for h in hist if h[0] == kind]
-        factors = sorted({h[1] for h in rows if h[1] is not None})
-        if not factors:
+        units = sorted({(h[2], h[1]) for h in rows if h[1] is not None})
+        if not units:
             continue
-        x = np.array([(h[2] + 0.5) * BIN for h in rows])
-        n = np.array([h[3] for h in rows], float)
-        off = np.array(factors)
-        known = np.array([[1.0 if h[1] is not None and abs(h[1] - f) < 1e-9 else 0.0 for f in factors] for h in rows])
+        x = np.array([(h[3] + 0.5) * BIN for h in rows])
+        n = np.array([h[4] for h in rows], float)
+        off = np.log10([f for f, _ in units])
+        known = np.array([[float((h[2], h[1]) == u) for u in units] for h in rows])
         free = np.array([h[1] is None for h in rows])
         w = (known * n[:, None]).sum(0) + 0.5
         w /= w.sum()
@@ -117,18 +129,18 @@ def fit(hist: list[tuple], rounds: int = 30) -> dict[str, dict]:
             p = np.log(w)[None, :] - 0.5 * ((si - mean) / dev) ** 2
             p = np.exp(p - p.max(1, keepdims=True))
             resp = np.where(free[:, None], p / p.sum(1, keepdims=True), known)
-        out[kind] = {"mean": mean, "dev": dev, "log_factor": factors, "weight": w.tolist()}
+        out[kind] = {"mean": mean, "dev": dev, "units": [u for _, u in units], "factors": [f for f, _ in units], "weight": w.tolist()}
     return out
 
 
-def posterior(number: float, model: dict) -> tuple[float, float]:
-    """(log10 factor, probability) of the likeliest unit of a number without unit."""
-    x = math.log10(abs(number)) + np.array(model["log_factor"])
+def posterior(number: float, model: dict) -> tuple[str, float, float]:
+    """(unit, exact factor, probability) of the likeliest unit of a number without unit."""
+    x = math.log10(abs(number)) + np.log10(model["factors"])
     p = np.log(model["weight"]) - 0.5 * ((x - model["mean"]) / model["dev"]) ** 2
     p = np.exp(p - p.max())
     p /= p.sum()
     i = int(p.argmax())
-    return model["log_factor"][i], float(p[i])
+    return model["units"][i], model["factors"][i], float(p[i])
 
 
 def convert(stated: DataFrame, models: dict[str, dict], trusted: dict[str, float], sure: float = 0.9) -> DataFrame:
@@ -142,14 +154,14 @@ def convert(stated: DataFrame, models: dict[str, dict], trusted: dict[str, float
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                source, si, f, s, p = r.unit_source, r.si_unit, r.factor, r.shift, 1.0
+                source, unit, si, f, s, p = r.unit_source, r.unit, r.si_unit, r.factor, r.shift, 1.0
                 if not source:
                     p = 0.0
                     if r.kind in models and r.number:
-                        lf, p = posterior(r.number, models[r.kind])
-                        source, si, f, s, p = "posterior", r.kind, 10.0**lf, 0.0, p * trusted[r.guess_source]
+                        unit, f, p = posterior(r.number, models[r.kind])
+                        source, si, s, p = "posterior", r.kind, 0.0, p * trusted[r.guess_source]
                 value = f"{r.number * f + s:.5e}" if si else ""
-                rows.append((r.src_table, r.row_id, r.field, r.number, r.unit, source, si, f, s, r.kind, r.guess, r.guess_source, value, p, p < sure))
+                rows.append((r.src_table, r.row_id, r.field, r.number, unit, source, si, f, s, r.kind, r.guess, r.guess_source, value, p, p < sure))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return stated.mapInPandas(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaesta.operators.logs import header_fields, typed_header
+from quaesta.operators.logs import typed_header, with_header
 
 
 def running_accuracy(stream: DataFrame, by: list[str], ok: str) -> DataFrame:
@@ -21,5 +21,5 @@ def windowed_counts(stream: DataFrame, ts: str, by: list[str], window: str = "5
 def header_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Header lines of a growing folder of log lines, parsed as they arrive (entries need the file's order)."""
     lines = spark.readStream.schema(schema).parquet(path)
-    h = lines.withColumn("f", header_fields(F.col("line"))).filter("f is not null").withColumn("h", typed_header(F.col("f"), F.col("log_file")))
+    h = with_header(lines).filter("f is not null").withColumn("h", typed_header(F.col("f"), F.col("log_file")))
     return h.filter("h is not null").select("log_file", "line_no", "h.level", "h.component")

@@ -251,3 +251,35 @@ def test_message_has_all_lines_of_the_entry(spark):
     df = spark.createDataFrame(rows + rows[:9], LOG).repartition(3)
     got = sorted((r["log_file"], r["first_line"], r["message"]) for r in logs.log_entries(df, block_lines=7, message=True).collect())
     assert got == sorted(map(tuple, want))
+
+
+def test_headers_with_carriage_returns_and_late_clocks(spark):
+    log = "a_20260301_080000_1.log"
+    rows = [(log, 1, "2026-03-01 10:00:00,1 - a - INFO - 10%\r20%\r30%"), (log, 2, "2026-03-01 10:00:01,1 - a - INFO - x"), (log, 3, "time=2026-03-01T10:00:02Z level=info component=c other=1")]
+    assert [e[1:] for e in entries(spark, rows)] == [(1, 1, "2026-03-01 10:00:00", "INFO", "a"), (2, 2, "2026-03-01 10:00:01", "INFO", "a"), (3, 3, "2026-03-01 10:00:02", "INFO", "c")]
+    got = {r["first_line"]: r["message"] for r in logs.log_entries(spark.createDataFrame(rows, LOG), message=True).collect()}
+    assert got == {1: "10%\r20%\r30%", 2: "x", 3: "other=1"}
+
+
+def test_posterior_keeps_the_exact_factor():
+    hist = [("s", "min", 60.0, 10 + i % 3, 5) for i in range(9)] + [("s", None, None, 11, 2)]
+    model = Q.fit(hist)["s"]
+    unit, factor, p = Q.posterior(12.0, model)
+    assert (unit, f"{12 * factor:.5e}") == ("min", "7.20000e+02") and p > 0.99
+
+
+def test_renames_by_values_when_names_differ(spark):
+    times = [12.5 + i * 0.37 for i in range(40)]
+    old = [("s", "a_20260101_000000.json", i, json.dumps({"walltime": t, "ok": i % 2 == 0, "seed": 1})) for i, t in enumerate(times)]
+    new = [("s", "a_20260102_000000.json", i, json.dumps({"elapsed": t, "good": i % 2 == 0, "stage": 1})) for i, t in enumerate(times)]
+    df = spark.createDataFrame(old + new, "series string, file_name string, record_no int, record string")
+    got = sorted(tuple(r)[2:] for r in drift.schema_changes(df).collect())
+    # two values are no evidence: the flags and constants are not the same fields for it
+    assert got == [("added", "good", ""), ("added", "stage", ""), ("removed", "ok", ""), ("removed", "seed", ""), ("renamed", "walltime", "elapsed")]
+
+
+def test_sketches_do_not_fill(spark):
+    rows = [("s", f, i, "x", "number", str(i + at)) for f, at in (("f", 0), ("g", 100_000)) for i in range(3000)]
+    prof = drift.profiles(spark.createDataFrame(rows, "series string, file_name string, record_no int, field string, kind string, value string")).collect()
+    a, b = (r.asDict() for r in prof)
+    assert len(a["sketch"]) == 64 and drift._overlap(a, b) == 0.0 and drift._overlap(a, a) == 1.0
