@@ -16,6 +16,7 @@ def session(app: str = "quaesta", master: str | None = None) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     return (b.master(master) if master else b).getOrCreate()
@@ -28,21 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Materialise `df` in the cluster's shared checkpoint folder and cut its lineage.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where that is unset
-    (tests, a laptop) a temporary folder is used.
+    The folder is the one the session names in spark.checkpoint.dir. Where that is unset, a temporary
+    folder serves a local master (tests, a laptop); on a cluster it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "quaesta-checkpoint"))
+        if not folder:
+            if not (sc.master.startswith("local[") or sc.master == "local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = os.path.join(tempfile.gettempdir(), "quaesta-checkpoint")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
-def strip_ws(c: Column) -> Column:
-    """Python's str.strip(): every Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-
-
 def previous_in_order(df: DataFrame, key: list[str], order: str, block: Column, value: str, out: str) -> DataFrame:
     """lag(value) over (key order by order) without one task per key.
 
@@ -63,14 +63,28 @@ def previous_in_order(df: DataFrame, key: list[str], order: str, block: Column,
     return joined.select(*[rows[c] for c in df.columns if c != "__b"], F.coalesce("__prev", "__before").alias(out))
 
 
-def join_small(big: DataFrame, small: DataFrame, on: dict[str, str], max_rows: int = 200_000) -> DataFrame:
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values, those of texts, arrays and the like by their JSON form."""
+    size = {"string": lambda c: F.octet_length(c), "binary": lambda c: F.octet_length(c)}
+    plain = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
+    total = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        n = F.lit(8) if kind in plain or kind.startswith("decimal") else size[kind](c) if kind in size else F.octet_length(F.to_json(F.struct(c)))
+        total = total + F.coalesce(n, F.lit(0))
+    return total
+
+
+def join_small(big: DataFrame, small: DataFrame, on: dict[str, str], max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
     """Left join of `small` (one row per key) on null-safe equality of big[k] and small[v].
 
-    `small` is written once and counted: up to `max_rows` rows it is broadcast, beyond that it is
-    joined by shuffle, where adaptive execution splits hot keys. Its key columns are dropped.
+    `small` is written once, counted and measured: up to `max_rows` rows and `max_bytes` bytes it is
+    broadcast, beyond that it is joined by shuffle, where adaptive execution splits hot keys. Its key
+    columns are dropped.
     """
     small = durable(small)
-    few = small.limit(max_rows + 1).count() <= max_rows
+    size = small.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(small)), F.lit(0)).alias("b")).collect()[0]
+    few = size["n"] <= max_rows and size["b"] <= max_bytes
     renamed = small.withColumnsRenamed({v: f"__k_{v}" for v in on.values()})
     cond = None
     for k, v in on.items():

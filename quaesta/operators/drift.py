@@ -41,7 +41,7 @@ def fields_of(records: DataFrame) -> DataFrame:
     return r.select("series", "file_name", "record_no", "field", json_type(F.col("value")).alias("kind"), F.col("value").cast("string").alias("value"))
 
 
-def profiles(fields: DataFrame, buckets: int = 64) -> DataFrame:
+def profiles(fields: DataFrame, buckets: int = 32) -> DataFrame:
     """One row per (series, file, field): kinds, sketch, low, high. Repeated records change nothing in it.
 
     The sketch is the least hash in each of `buckets` parts of the values' hashes: it never fills up,

@@ -282,4 +282,4 @@ def test_sketches_do_not_fill(spark):
     rows = [("s", f, i, "x", "number", str(i + at)) for f, at in (("f", 0), ("g", 100_000)) for i in range(3000)]
     prof = drift.profiles(spark.createDataFrame(rows, "series string, file_name string, record_no int, field string, kind string, value string")).collect()
     a, b = (r.asDict() for r in prof)
-    assert len(a["sketch"]) == 64 and drift._overlap(a, b) == 0.0 and drift._overlap(a, a) == 1.0
+    assert len(a["sketch"]) == 32 and drift._overlap(a, b) == 0.0 and drift._overlap(a, a) == 1.0
