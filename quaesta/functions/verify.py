@@ -36,6 +36,7 @@ VERDICTS = {
     "cannot be determined": "unknown", "indeterminate": "unknown", "affirmative": "yes", "incorrect": "no", "uncertain": "unknown", "negative": "no", "correct": "yes",
     "unknown": "unknown", "false": "no", "maybe": "unknown", "true": "yes", "yes": "yes", "no": "no",
 }
+# The two forms of a number with its unit; what they accept must be the same everywhere.
 SCIENTIFIC = rf"(?s)([+-]?\d+(?:[.,]\d+)?){WS}*(?:[×xX*·]{WS}*10{WS}*[\^＾]?{WS}*(?:\(([+-]?\d+)\)|([+-]?\d+))|[eE]([+-]?\d+))(.*)$"
 PLAIN = rf"(?s)^([+-]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?){WS}*([a-zA-ZμΩ\x{{2126}}°²³⁻/·{WS_IN}]*)"
 SUPERSCRIPTS = ("⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻", "0123456789+-")

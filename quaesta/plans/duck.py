@@ -1,10 +1,59 @@
-"""Pieces of DuckDB SQL for the driver's side-by-side check, written apart from the Column code."""
+"""Pieces of DuckDB SQL for the driver's side-by-side check.
 
-from __future__ import annotations
+Nothing is taken from the Column code: patterns, tables and word lists are stated here once more, so
+that an error on either side shows.
+"""
 
-from quaesta.functions import score, text, verify
+from __future__ import annotations
 
-WS = text.WS
+WS_IN = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WS = f"[{WS_IN}]"
+TAGS = ["reasoning", "answer", "explanation"]
+TAG_PATTERN = r"(?is)<{0}>\s*(.*?)\s*</{0}>"
+WORD_START, WORD_END = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
+BRACED = r"(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*\})*\})"
+SCIENTIFIC_NUMBER = rf"(?s)([+-]?\d+(?:[.,]\d+)?){WS}*(?:[×xX*·]{WS}*10{WS}*[\^＾]?{WS}*(?:\(([+-]?\d+)\)|([+-]?\d+))|[eE]([+-]?\d+))(.*)$"
+PLAIN_NUMBER = rf"(?s)^([+-]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?){WS}*([a-zA-ZμΩ\x{{2126}}°²³⁻/·{WS_IN}]*)"
+RAISED, RAISED_AS = "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻", "0123456789+-"
+# Units by scale.
+SCALES = {
+    1e-12: "pj pc pa pf ps pm pw",
+    1e-9: "nj nc na nf nh ns nm nw",
+    1e-6: "μj uj μc uc μa ua μv uv μf uf μh uh μs us μm um μw uw μt ut",
+    1e-3: "mj mc ma mv mf mω mohm mh ms mm mn mw mt mv/m",
+    1e-2: "cm %",
+    1e-1: "dm",
+    1.0: "j c a v f ω ohm h hz s m n w t v/m rad",
+    60.0: "min",
+    1e3: "kj ka kv kω kohm khz km kn kw kv/m",
+    1e6: "mhz",
+    1e9: "ghz",
+}
+SAYS = {
+    "yes": ["yes", "true", "correct", "affirmative"],
+    "no": ["no", "false", "incorrect", "negative"],
+    "unknown": ["unknown", "uncertain", "cannot be determined", "indeterminate", "maybe"],
+}
+REWARD_VARIANTS = {"R1": (0.30, 0.60, 0.10, -0.10), "R2": (0.30, 0.70, 0.00, 0.0), "R3": (0.00, 0.80, 0.10, 0.0), "R4": (0.00, 1.00, 0.00, 0.0)}
+SEVEN_CLASSES = ["E1_unit_dimension", "E2_wrong_formula", "E3_arithmetic", "E4_logical_fallacy", "E5_misinterpretation", "E6_extraction", "E0_unclassified"]
+SIX_CODES = ["AX", "LE", "UC", "FS", "AR", "PU"]
+WORDS_OF_LOGIC = ["forall", "∀", "exists", "∃", "premise", "conclusion", "therefore", "implies", "contrapositive", "syllogism"]
+WORDS_OF_FORMULAS = ["f=ma", "e=mc", "v=ir", "p=iv", "e=qv", "kinetic", "potential", "newton", "ohm", "coulomb", "faraday"]
+UNIT_IN_TEXT = WORD_START + "(?:kg|m/s|j|n|w|pa|k|v|a|ω)" + WORD_END + r"|(?:[\p{L}\p{N}_])°c" + WORD_END
+PHYSICS_KEYWORDS = [
+    "voltage", "current", "resistance", "capacitor", "inductor", "capacitance", "inductance", "electric", "magnetic", "charge", "force", "energy",
+    "power", "frequency", "wavelength", "circuit", "ohm", "ampere", "volt", "watt", "joule", "newton", "field", "wire", "coil", "solenoid",
+    "transformer", "flux", "potential", "acceleration", "velocity", "momentum", "mass", "temperature", "heat", "pressure", "wave", "photon",
+    "electron", "proton", "neutron", "nucleus", "atom", "resistor", "battery", "emf", "impedance", "reactance", "dielectric", "permittivity",
+    "permeability", "resonance", "oscillation", "period", "hertz", "kilowatt", "milliamp", "microfarad", "ohm's", "kirchhoff", "faraday", "coulomb",
+    "tesla", "weber", "lenz",
+]
+LOGIC_KEYWORDS = [
+    "premise", "premises", "conclusion", "follows", "implies", "therefore", "hence", "infer", "deduce", "valid", "forall", "exists", "∀", "∃", "¬",
+    "→", "∧", "∨", "true", "false", "unknown", "statement", "argument", "contrapositive", "converse", "inverse", "syllogism", "modus", "ponens",
+    "tollens", "logic", "proposition", "predicate", "quantifier", "first-order", "boolean", "if then", "if and only if", "iff", "biconditional",
+    "does it follow", "is the following", "must be true", "can we conclude", "consistent", "inconsistent",
+]
 
 
 def q(s: str) -> str:
@@ -36,7 +85,7 @@ def strip_prefix(x: str) -> str:
 
 
 def tag(x: str, name: str) -> str:
-    return strip(ext(x, text.TAG.format(name), 1))
+    return strip(ext(x, TAG_PATTERN.format(name), 1))
 
 
 def lines(x: str) -> str:
@@ -53,12 +102,12 @@ def simplify(x: str) -> str:
 
 def boxed(x: str) -> str:
     rest = f"list_extract(string_split({x}, '\\boxed{{'), -1)"
-    p = rf"(?s)^({text.nested('[^{}]')}*)\}}"
+    p = rf"(?s)^({BRACED}*)\}}"
     return f"(case when contains({x}, '\\boxed{{') and {has(rest, p)} then {ext(rest, p, 1)} end)"
 
 
 def answer(x: str) -> str:
-    return f"(case when {has(x, text.TAG.format('answer'))} then {tag(x, 'answer')} else coalesce({simplify(boxed(x))}, list_extract({lines(x)}, -1), '') end)"
+    return f"(case when {has(x, TAG_PATTERN.format('answer'))} then {tag(x, 'answer')} else coalesce({simplify(boxed(x))}, list_extract({lines(x)}, -1), '') end)"
 
 
 def translate(x: str, a: str, b: str) -> str:
@@ -69,8 +118,9 @@ def unit_key(x: str) -> str:
     return f"lower(replace({translate(strip(x), 'Ω' + chr(0x2126), 'ωω')}, ' ', ''))"
 
 
-UNIT_MAP = "MAP {" + ", ".join(f"{q(k)}: {v!r}::double" for k, v in verify.UNITS.items()) + "}"
-VERDICT_MAP = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in verify.VERDICTS.items()) + "}"
+UNIT_MAP = "MAP {'': 1.0::double, " + ", ".join(f"{q(u)}: {v!r}::double" for v, us in SCALES.items() for u in us.split()) + "}"
+_VERDICT_OF = {w: v for v, ws in SAYS.items() for w in ws}
+VERDICT_MAP = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in _VERDICT_OF.items()) + "}"
 
 
 def scale(x: str) -> str:
@@ -80,12 +130,12 @@ def scale(x: str) -> str:
 def parsed(source: str, columns: dict[str, str]) -> str:
     """SELECT adding <name>_value and <name>_unit of each text column, as nested selects."""
     a = ", ".join(f"{strip_prefix(strip_prefix(f'coalesce({c}, {q(str())})'))} AS {n}_t" for n, c in columns.items())
-    b = ", ".join(f"{translate(f'{n}_t', *verify.SUPERSCRIPTS)} AS {n}_s" for n in columns)
-    g = lambda n, i: ext(f"{n}_s", verify.SCIENTIFIC, i)
+    b = ", ".join(f"{translate(f'{n}_t', RAISED, RAISED_AS)} AS {n}_s" for n in columns)
+    g = lambda n, i: ext(f"{n}_s", SCIENTIFIC_NUMBER, i)
     sci_v = lambda n: f"try_cast(replace({g(n, 1)} || 'e' || {g(n, 2)} || {g(n, 3)} || {g(n, 4)}, ',', '.') as double)"
     c = ", ".join(
-        f"case when {has(f'{n}_s', verify.SCIENTIFIC)} then {sci_v(n)} when {has(f'{n}_t', verify.PLAIN)} then try_cast(replace({ext(f'{n}_t', verify.PLAIN, 1)}, ',', '.') as double) end AS {n}_value, "
-        f"case when {has(f'{n}_s', verify.SCIENTIFIC)} then {sub(strip(g(n, 5)), '^[.,;]+|[.,;]+$')} when {has(f'{n}_t', verify.PLAIN)} then {strip(ext(f'{n}_t', verify.PLAIN, 2))} else '' end AS {n}_unit"
+        f"case when {has(f'{n}_s', SCIENTIFIC_NUMBER)} then {sci_v(n)} when {has(f'{n}_t', PLAIN_NUMBER)} then try_cast(replace({ext(f'{n}_t', PLAIN_NUMBER, 1)}, ',', '.') as double) end AS {n}_value, "
+        f"case when {has(f'{n}_s', SCIENTIFIC_NUMBER)} then {sub(strip(g(n, 5)), '^[.,;]+|[.,;]+$')} when {has(f'{n}_t', PLAIN_NUMBER)} then {strip(ext(f'{n}_t', PLAIN_NUMBER, 2))} else '' end AS {n}_unit"
         for n in columns
     )
     return f"(SELECT *, {c} FROM (SELECT *, {b} FROM (SELECT *, {a} FROM {source})))"
@@ -102,8 +152,8 @@ def mcq(p: str, g: str) -> str:
 
 
 def yes_no(p: str, g: str) -> str:
-    a, b = text.WORD_EDGE
-    found = " ".join(f"when {has(f'lower({p})', a + w + b)} then {q(v)}" for w, v in verify.VERDICTS.items())
+    # the longest phrase that occurs decides
+    found = " ".join(f"when {has(f'lower({p})', WORD_START + w + WORD_END)} then {q(_VERDICT_OF[w])}" for w in sorted(_VERDICT_OF, key=lambda w: -len(w)))
     return f"(coalesce({VERDICT_MAP}[{normalize(strip_prefix(p))}], case {found} end, {normalize(p)}) = coalesce({VERDICT_MAP}[{normalize(g)}], {normalize(g)}))"
 
 
@@ -144,7 +194,7 @@ def reward(source: str, completion: str, truth: str) -> str:
     v = verified(source, completion, truth)
     v = v.replace("pred_value", "pv0").replace("pred_unit", "pu0").replace("true_value", "tv0").replace("true_unit", "tu0").replace("pred_t", "pt0").replace("pred_s", "ps0").replace("true_t", "tt0").replace("true_s", "ts0")
     b = parsed(v, {"a": c, "b": truth})
-    filled = " + ".join(f"(case when {tag(c, t)} <> '' then 1 else 0 end)" for t in score.TAGS)
+    filled = " + ".join(f"(case when {tag(c, t)} <> '' then 1 else 0 end)" for t in TAGS)
     return (
         f"(SELECT *, round(greatest(-0.1, least(1.0, r_format + r_correct + r_unit + r_length)), 6) AS reward FROM (SELECT *, round(0.30 * ({filled}) / 3, 6) AS r_format, case when ok then 0.60 else 0.0 end AS r_correct, "
         f"case when {same_scale('a_unit', 'b_unit')} then 0.10 else 0.0 end AS r_unit, case when {words(tag(c, 'reasoning'))} > 800 then -0.10 else 0.0 end AS r_length FROM {b}))"
@@ -162,7 +212,7 @@ def heuristic(question: str, pred: str, truth: str, subject: str, raw: str, name
     num = lambda c: f"try_cast(nullif({ext(c, chr(92) + 'd+' + chr(92) + '.?' + chr(92) + 'd*')}, '') as double)"
     d = f"abs({num(P)} - {num(G)})"
     return (
-        f"case when contains({R}, '<reasoning>') and not contains({R}, '<answer>') then '{ex}' when {subject} = 'logic' and {any_of(Q, score.LOGIC_WORDS)} then '{lo}' "
-        f"when {subject} = 'physics' and {has(G, score.UNIT_WORD)} and not {has(P, score.UNIT_WORD)} then '{un}' when {subject} = 'physics' and {any_of(P, score.FORMULA_WORDS)} then '{fo}' "
+        f"case when contains({R}, '<reasoning>') and not contains({R}, '<answer>') then '{ex}' when {subject} = 'logic' and {any_of(Q, WORDS_OF_LOGIC)} then '{lo}' "
+        f"when {subject} = 'physics' and {has(G, UNIT_IN_TEXT)} and not {has(P, UNIT_IN_TEXT)} then '{un}' when {subject} = 'physics' and {any_of(P, WORDS_OF_FORMULAS)} then '{fo}' "
         f"when {subject} = 'physics' and coalesce({d} > 0 and {d} < {num(G)} * 0.5, false) then '{ar}' when length({strip(f'coalesce({pred}, {q(str())})')}) < 5 then '{sh}' else '{rest}' end"
     )

@@ -108,7 +108,7 @@ _MARK = r"(?i)(?:the\s+answer\s+is|answer\s*[:=])\s*[:\-]?\s*(.+)"
 
 
 @query(
-    f"SELECT sample_id, case when {D.has('t', T.TAG.format('answer'))} then {D.tag('t', 'answer')} when hit is not null then {D.sub(D.strip(D.ext('hit', _MARK, 1)), chr(92) + '.+$', '', '')} else {D.answer('t')} end AS answer "
+    f"SELECT sample_id, case when {D.has('t', D.TAG_PATTERN.format('answer'))} then {D.tag('t', 'answer')} when hit is not null then {D.sub(D.strip(D.ext('hit', _MARK, 1)), chr(92) + '.+$', '', '')} else {D.answer('t')} end AS answer "
     f"FROM (SELECT *, list_extract(list_filter({D.lines('t')}, lambda l: {D.has('l', _MARK)}), -1) AS hit FROM (SELECT sample_id, {_RAW} AS t FROM {FAIR}))"
 )
 def flexible_answers(spark, d):
@@ -116,12 +116,12 @@ def flexible_answers(spark, d):
     return _fair(spark, d).select("sample_id", T.flexible_extract(F.coalesce("prediction_raw", F.lit(""))).alias("answer"))
 
 
-_W = lambda w: T.WORD_EDGE[0] + "(?:" + w + ")" + T.WORD_EDGE[1]
+_W = lambda w: D.WORD_START + "(?:" + w + ")" + D.WORD_END
 
 
 @query(
     f"SELECT sample_id, case when {D.has('b', _W('unknown|uncertain') + '|cannot be (?:determined|concluded)|not enough|insufficient')} then 'unknown' when {D.has('b', _W('no|false') + '|contradict')} then 'no' "
-    f"when {D.has('b', _W('yes|true') + '|entail|follows?' + T.WORD_EDGE[1])} then 'yes' else '' end AS label FROM (SELECT sample_id, lower(case when {D.has('t', T.TAG.format('answer'))} then {D.tag('t', 'answer')} else {D.strip('t')} end) AS b FROM (SELECT sample_id, coalesce(raw_end, '') AS t FROM {EXT}))"
+    f"when {D.has('b', _W('yes|true') + '|entail|follows?' + D.WORD_END)} then 'yes' else '' end AS label FROM (SELECT sample_id, lower(case when {D.has('t', D.TAG_PATTERN.format('answer'))} then {D.tag('t', 'answer')} else {D.strip('t')} end) AS b FROM (SELECT sample_id, coalesce(raw_end, '') AS t FROM {EXT}))"
 )
 def logic_labels(spark, d):
     """X8."""
@@ -194,7 +194,7 @@ def composite_reward(spark, d):
     return S.reward(_fair(spark, d), "prediction_raw", "ground_truth").select("sample_id", *[F.col(c).cast("double").alias(c) for c in ("r_format", "r_correct", "r_unit", "r_length", "reward")])
 
 
-_VARIANTS = " UNION ALL ".join(f"SELECT '{k}' AS variant, avg(round(r_format * {w[0]} + r_correct * {w[1]} + r_unit * {w[2]} + case when r_length < 0 then {w[3]} else 0.0 end, 6)) AS m, count(*) AS n FROM r" for k, w in S.VARIANTS.items())
+_VARIANTS = " UNION ALL ".join(f"SELECT '{k}' AS variant, avg(round(r_format * {w[0]} + r_correct * {w[1]} + r_unit * {w[2]} + case when r_length < 0 then {w[3]} else 0.0 end, 6)) AS m, count(*) AS n FROM r" for k, w in D.REWARD_VARIANTS.items())
 
 
 @query(f"WITH r AS (SELECT r_format::double AS r_format, r_correct::double AS r_correct, r_unit::double AS r_unit, r_length FROM {_REWARD}) SELECT variant, n, round(m, 4) AS mean_reward FROM ({_VARIANTS})")
@@ -204,12 +204,12 @@ def reward_variants(spark, d):
     return r.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("variant_reward").cast("double")), 4).alias("mean_reward"))
 
 
-_TAGN = lambda x: " + ".join(f"(case when contains({x}, '<{t}>') then 1 else 0 end)" for t in S.TAGS)
+_TAGN = lambda x: " + ".join(f"(case when contains({x}, '<{t}>') then 1 else 0 end)" for t in D.TAGS)
 
 
 @query(
     f"SELECT sample_id, round(0.3 * (case when contains(lower(t), '<reasoning>') then 0.3 else 0.0 end + case when contains(lower(t), '<answer>') then 0.5 else 0.0 end + case when contains(lower(t), '<explanation>') then 0.2 else 0.0 end) + (case when correct then 1.0 else 0.0 end), 4)::double AS legacy, "
-    f"round((case when {D.has('t', T.TAG.format('reasoning'))} then 0.33 else 0.0 end) + (case when {D.has('t', T.TAG.format('answer'))} then 0.34 else 0.0 end) + (case when {D.has('t', T.TAG.format('explanation'))} then 0.33 else 0.0 end), 2)::double AS fmt, "
+    f"round((case when {D.has('t', D.TAG_PATTERN.format('reasoning'))} then 0.33 else 0.0 end) + (case when {D.has('t', D.TAG_PATTERN.format('answer'))} then 0.34 else 0.0 end) + (case when {D.has('t', D.TAG_PATTERN.format('explanation'))} then 0.33 else 0.0 end), 2)::double AS fmt, "
     f"round(0.30 * ({_TAGN('t')}) / 3 + (case when correct then 0.60 else 0.0 end) + (case when {D.words('t')} > 800 then -0.10 else 0.0 end), 4)::double AS extended FROM (SELECT *, {_RAW} AS t FROM {FAIR})"
 )
 def older_rewards(spark, d):
@@ -228,7 +228,7 @@ _COLS = ("question", "prediction", "ground_truth", "subject", "raw_snippet")
 
 @query(
     "SELECT c.class, coalesce(n, 0) AS n, case when sum(coalesce(n, 0)) over () > 0 then round(100.0 * coalesce(n, 0) / sum(coalesce(n, 0)) over (), 1) else 0.0 end AS pct FROM (SELECT unnest(["
-    + ", ".join(D.q(c) for c in S.CLASSES_E1) + f"]) AS class) c LEFT JOIN (SELECT {_CLASS7} AS class, count(*) AS n FROM {ERRORS} GROUP BY 1) USING (class)"
+    + ", ".join(D.q(c) for c in D.SEVEN_CLASSES) + f"]) AS class) c LEFT JOIN (SELECT {_CLASS7} AS class, count(*) AS n FROM {ERRORS} GROUP BY 1) USING (class)"
 )
 def error_taxonomy_dense(spark, d):
     """E1, A2, A3, A5."""
@@ -238,7 +238,7 @@ def error_taxonomy_dense(spark, d):
 
 @query(
     f"SELECT n, round(100.0 * po, 2) AS agreement, round(case when pe >= 1 then 1.0 else (po - pe) / (1 - pe) end, 4) AS kappa FROM (SELECT count(*) AS n, count(*) filter (where a = b) / count(*)::double AS po, ("
-    + " + ".join(f"count(*) filter (where a = '{x}') * count(*) filter (where b = '{x}')" for x in S.CLASSES_E3) + f") / (count(*)::double * count(*)) AS pe FROM (SELECT {_CODE} AS a, split_part(rule_label, '_', 1) AS b FROM {ERRORS}) WHERE a in ({', '.join(D.q(x) for x in S.CLASSES_E3)}) and b in ({', '.join(D.q(x) for x in S.CLASSES_E3)}))"
+    + " + ".join(f"count(*) filter (where a = '{x}') * count(*) filter (where b = '{x}')" for x in D.SIX_CODES) + f") / (count(*)::double * count(*)) AS pe FROM (SELECT {_CODE} AS a, split_part(rule_label, '_', 1) AS b FROM {ERRORS}) WHERE a in ({', '.join(D.q(x) for x in D.SIX_CODES)}) and b in ({', '.join(D.q(x) for x in D.SIX_CODES)}))"
 )
 def label_agreement(spark, d):
     """E3, E4, A18."""
@@ -254,7 +254,7 @@ def error_classes_six(spark, d):
 
 # ---- routing -----------------------------------------------------------------------------------------
 _HITS = lambda ws: " + ".join(f"contains(t, {D.q(w)})::int" for w in ws)
-_ROUTED = f"(SELECT *, case when np >= nl then 'physics' else 'logic' end AS route, round(greatest(np, nl) / greatest(np + nl, 1)::double, 6) AS route_conf FROM (SELECT *, {_HITS(S.PHYSICS)} AS np, {_HITS(S.LOGIC)} AS nl FROM "
+_ROUTED = f"(SELECT *, case when np >= nl then 'physics' else 'logic' end AS route, round(greatest(np, nl) / greatest(np + nl, 1)::double, 6) AS route_conf FROM (SELECT *, {_HITS(D.PHYSICS_KEYWORDS)} AS np, {_HITS(D.LOGIC_KEYWORDS)} AS nl FROM "
 
 
 @query(f"SELECT doc_id, np::int AS n_physics, nl::int AS n_logic, route, route_conf FROM {_ROUTED} (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)))")
@@ -336,7 +336,7 @@ def embedding_nearest(spark, d):
     return hits.groupBy("query_id").agg(F.round(F.max("score"), 5).alias("best"), F.round(F.sum("score"), 4).alias("top5"))
 
 
-_COLLAPSE = lambda x: D.strip(f"lower({D.sub(x, T.WS + '+', ' ')})")
+_COLLAPSE = lambda x: D.strip(f"lower({D.sub(x, D.WS + '+', ' ')})")
 
 
 @query(
@@ -574,7 +574,7 @@ def accuracy_rollup(spark, d):
 
 @query(
     "SELECT sample_id, "
-    f"round(case when ok then 0.85 + 0.15 * fmt else 0.30 * fmt end, 4)::double AS confidence FROM (SELECT sample_id, coalesce(correct, false) AS ok, ((case when {D.has('t', T.TAG.format('reasoning'))} then 0.33 else 0.0 end) + (case when {D.has('t', T.TAG.format('answer'))} then 0.34 else 0.0 end) + (case when {D.has('t', T.TAG.format('explanation'))} then 0.33 else 0.0 end))::double AS fmt FROM (SELECT *, {_RAW} AS t FROM {FAIR}))"
+    f"round(case when ok then 0.85 + 0.15 * fmt else 0.30 * fmt end, 4)::double AS confidence FROM (SELECT sample_id, coalesce(correct, false) AS ok, ((case when {D.has('t', D.TAG_PATTERN.format('reasoning'))} then 0.33 else 0.0 end) + (case when {D.has('t', D.TAG_PATTERN.format('answer'))} then 0.34 else 0.0 end) + (case when {D.has('t', D.TAG_PATTERN.format('explanation'))} then 0.33 else 0.0 end))::double AS fmt FROM (SELECT *, {_RAW} AS t FROM {FAIR}))"
 )
 def confidences(spark, d):
     """R10, R11."""
@@ -605,7 +605,7 @@ def response_rules(spark, d):
 
 
 @query(
-    f"SELECT question_id, arg_max(sample_id, (fmt, -sample_id)) AS best_attempt, max(fmt) AS format_score FROM (SELECT question_id, sample_id, round((case when {D.has('t', T.TAG.format('reasoning'))} then 0.33 else 0.0 end) + (case when {D.has('t', T.TAG.format('answer'))} then 0.34 else 0.0 end) + (case when {D.has('t', T.TAG.format('explanation'))} then 0.33 else 0.0 end), 2)::double AS fmt FROM (SELECT *, {_RAW} AS t FROM {FAIR})) GROUP BY question_id"
+    f"SELECT question_id, arg_max(sample_id, (fmt, -sample_id)) AS best_attempt, max(fmt) AS format_score FROM (SELECT question_id, sample_id, round((case when {D.has('t', D.TAG_PATTERN.format('reasoning'))} then 0.33 else 0.0 end) + (case when {D.has('t', D.TAG_PATTERN.format('answer'))} then 0.34 else 0.0 end) + (case when {D.has('t', D.TAG_PATTERN.format('explanation'))} then 0.33 else 0.0 end), 2)::double AS fmt FROM (SELECT *, {_RAW} AS t FROM {FAIR})) GROUP BY question_id"
 )
 def best_attempts(spark, d):
     """R12."""
