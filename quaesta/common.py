@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,23 +27,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the cluster's shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the session names in spark.checkpoint.dir.
 
-    The folder is the one the session names in spark.checkpoint.dir. Where that is unset, a temporary
-    folder serves a local master (tests, a laptop); on a cluster it is an error.
+    Where that is unset, a temporary folder serves a local master (tests, a laptop); on a cluster it is an error.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not (master.startswith("local[") or master == "local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "quaesta-checkpoint")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the cluster's shared checkpoint folder and cut its lineage."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not (sc.master.startswith("local[") or sc.master == "local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = os.path.join(tempfile.gettempdir(), "quaesta-checkpoint")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def previous_in_order(df: DataFrame, key: list[str], order: str, block: Column, value: str, out: str) -> DataFrame:
     """lag(value) over (key order by order) without one task per key.
 
@@ -91,3 +102,23 @@ def join_small(big: DataFrame, small: DataFrame, on: dict[str, str], max_rows: i
         c = big[k].eqNullSafe(renamed[f"__k_{v}"])
         cond = c if cond is None else cond & c
     return big.join(F.broadcast(renamed) if few else renamed, cond, "left").drop(*[f"__k_{v}" for v in on.values()])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever file system it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text written beside the target and renamed over it, in whatever file system the path names."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, tmp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
+    out = target.getFileSystem(conf).create(tmp, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    rename = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    rename[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(tmp, target, rename)

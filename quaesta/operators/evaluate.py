@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaesta.common import durable
+
 
 def pct(num: Column, den: Column, digits: int = 2) -> Column:
     return F.when(den > 0, F.round(100.0 * num / den, digits)).otherwise(0.0)
@@ -53,12 +55,24 @@ def resolve_retries(df: DataFrame, key: list[str], attempt: str, ok: str) -> Dat
 
 
 def running_accuracy(df: DataFrame, key: list[str], order: list[str], ok: str) -> DataFrame:
-    """Accuracy so far per key in the given order, rounded to six digits.
+    """Accuracy so far per key in the given order, rounded to six digits; null verdicts count as rows but not in the mean.
 
-    For many keys; a single huge series is better served by `streaming.running`.
+    Rows are dealt by ranges of (key, order), so a key that holds a third of all rows lies in many
+    tasks; each range starts from the sums of the ranges before it, of which there is one row each.
     """
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("n_so_far", F.count(F.lit(1)).over(w)).withColumn("accuracy_so_far", F.round(F.avg(F.col(ok).cast("double")).over(w), 6))
+    v = F.col(ok).cast("double")
+    d = durable(df.repartitionByRange(*key, *order).withColumn("__part", F.spark_partition_id()))
+    sums = d.groupBy(*key, "__part").agg(F.count(F.lit(1)).alias("__n"), F.sum(v).alias("__s"), F.count(v).alias("__m"))
+    before = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    start = sums.select(*[F.col(k).alias(f"__k_{k}") for k in key], F.col("__part").alias("__p"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("__n", "__s", "__m")])
+    cond = F.col("__part") == F.col("__p")
+    for k in key:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    w = Window.partitionBy(*key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    j = d.join(start, cond, "left")
+    j = j.withColumn("n_so_far", F.count(F.lit(1)).over(w) + F.col("__n0"))
+    j = j.withColumn("accuracy_so_far", F.round((F.coalesce(F.sum(v).over(w), F.lit(0.0)) + F.col("__s0")) / F.nullif(F.count(v).over(w) + F.col("__m0"), F.lit(0)), 6))
+    return j.select(*df.columns, "n_so_far", "accuracy_so_far")
 
 
 def stage_delta(df: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
@@ -162,3 +176,21 @@ def cost(df: DataFrame, minutes: str, rate: float, by: list[str]) -> DataFrame:
 def pick_first(df: DataFrame, order: list, n: int) -> DataFrame:
     """The first n rows in an explicit order."""
     return df.orderBy(*order).limit(n)
+
+
+def wrong_only(df: DataFrame, group: str, ok: str) -> DataFrame:
+    """The wrong rows of the group of greatest accuracy (the least group on ties); null verdicts are wrong."""
+    acc = df.groupBy(group).agg(F.avg(F.coalesce(F.col(ok), F.lit(False)).cast("double")).alias("__acc"))
+    best = best_group(acc, group, "__acc").select(F.col("best").alias(group))
+    return df.join(F.broadcast(best), group, "left_semi").filter(~F.coalesce(F.col(ok), F.lit(False)))  # best is one row
+
+
+def run_summary(df: DataFrame, by: list[str], ok: str, verified: str, well_formed: str, retries: str, confidence: str, seconds: str, explanation: str) -> DataFrame:
+    """Per run the rates (four digits), mean retries (three), confidence (four) and time (two), and the
+    share of explanations of 20 characters or more. Null flags count as not so; other nulls are left out of means."""
+    rate = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 4)
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), rate(F.col(ok)).alias("accuracy"), rate(F.col(verified)).alias("verified_rate"), rate(F.col(well_formed)).alias("format_ok_rate"),
+        F.round(F.avg(retries), 3).alias("avg_retries"), F.round(F.avg(confidence), 4).alias("avg_confidence"), F.round(F.sum(seconds) / 60, 2).alias("total_min"), F.round(F.avg(seconds), 2).alias("avg_seconds"),
+        rate(F.length(F.trim(explanation)) >= 20).alias("explained_rate"),
+    )

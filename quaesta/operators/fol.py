@@ -3,7 +3,8 @@
 Formulas have unary predicates over one variable, without functions or equality, so elements do not
 influence each other: premises are satisfiable iff their universal bodies are together satisfiable
 for one element, and so are they with each existential body. Each test is a small propositional
-search (DPLL) in an Arrow UDF; more than `limit` predicates give no verdict.
+search (DPLL) in an Arrow UDF; a search beyond `steps` decisions gives no verdict, as a timeout would.
+Disjunctions of large formulas are named by a definition, so clause forms stay as small as the formula.
 """
 
 from __future__ import annotations
@@ -117,7 +118,11 @@ class Parser:
 
 
 def clauses(f: tuple, sign: bool = True) -> list[frozenset]:
-    """Clause form of a body (or of its negation): sets of (name, sign)."""
+    """Clause form of a body (or of its negation), satisfiable exactly if it is: sets of (name, sign).
+
+    The parts of a disjunction are multiplied out only if that gives few clauses; else the larger one
+    gets a name that implies it. Names of definitions are tuples, those of predicates are texts.
+    """
     op = f[0]
     if op == "p":
         return [frozenset({(f[1], sign)})]
@@ -130,11 +135,27 @@ def clauses(f: tuple, sign: bool = True) -> list[frozenset]:
     a, b = clauses(f[1], sign), clauses(f[2], sign)
     if (op == "and") == sign:
         return a + b
+    if len(a) * len(b) > max(4, len(a) + len(b)):
+        if len(a) < len(b):
+            a, b = b, a
+        name = ("def", f, sign)
+        return [c | {(name, False)} for c in a] + [c | {(name, True)} for c in b]
     return [x | y for x in a for y in b]
 
 
-def satisfiable(cs: list[frozenset]) -> bool:
+class _Steps:
+    def __init__(self, n: int) -> None:
+        self.n = n
+
+    def take(self) -> None:
+        self.n -= 1
+        if self.n < 0:
+            raise TimeoutError
+
+
+def satisfiable(cs: list[frozenset], steps: _Steps | None = None) -> bool:
     """DPLL with unit propagation."""
+    steps = steps or _Steps(1_000_000)
     while True:
         if any(not c for c in cs):
             return False
@@ -145,36 +166,35 @@ def satisfiable(cs: list[frozenset]) -> bool:
         cs = [c - {(name, not sign)} for c in cs if unit not in c]
     if not cs:
         return True
+    steps.take()
     name, sign = next(iter(cs[0]))
-    return satisfiable([*cs, frozenset({(name, sign)})]) or satisfiable([*cs, frozenset({(name, not sign)})])
+    return satisfiable([*cs, frozenset({(name, sign)})], steps) or satisfiable([*cs, frozenset({(name, not sign)})], steps)
 
 
-def entails(premises: list[str], conclusion: str, limit: int = 20) -> str | None:
+def entails(premises: list[str], conclusion: str, steps: int = 20_000) -> str | None:
     """yes if the premises entail the conclusion, no if they entail its negation, unknown otherwise; None if
-    anything cannot be read or there are more than `limit` predicates. Unreadable premises make no verdict."""
+    anything cannot be read or the search takes more than `steps` decisions. Unreadable premises make no verdict."""
     try:
         read = [Parser(p).formula() for p in premises]
         goal = Parser(conclusion).formula()
-    except (ValueError, IndexError, RecursionError):
-        return None
-    names = {n for _, b in [*read, goal] for c in clauses(b) for n, _ in c}
-    if len(names) > limit:
+        left = _Steps(steps)
+        base = [c for q, b in read if q == "all" for c in clauses(b)]
+        some = [clauses(b) for q, b in read if q == "some"]
+        if not satisfiable(base, left) or not all(satisfiable(base + s, left) for s in some):
+            return "yes"
+
+        def follows(q: str, b: tuple, sign: bool) -> bool:
+            """Premises entail Q x b (sign) or its negation."""
+            universal = (q == "all") == sign
+            if universal:  # refuted by one more element with the opposite
+                return not satisfiable(base + clauses(b, not sign), left)
+            extra = base + clauses(b, not sign)  # no element may have it
+            return not satisfiable(extra, left) or not all(satisfiable(extra + s, left) for s in some)
+
+        q, b = goal
+        return "yes" if follows(q, b, True) else "no" if follows(q, b, False) else "unknown"
+    except (ValueError, IndexError, RecursionError, TimeoutError):
         return None
-    base = [c for q, b in read if q == "all" for c in clauses(b)]
-    some = [clauses(b) for q, b in read if q == "some"]
-    if not satisfiable(base) or not all(satisfiable(base + s) for s in some):
-        return "yes"
-
-    def follows(q: str, b: tuple, sign: bool) -> bool:
-        """Premises entail Q x b (sign) or its negation."""
-        universal = (q == "all") == sign
-        if universal:  # refuted by one more element with the opposite
-            return not satisfiable(base + clauses(b, not sign))
-        extra = base + clauses(b, not sign)  # no element may have it
-        return not satisfiable(extra) or not all(satisfiable(extra + s) for s in some)
-
-    q, b = goal
-    return "yes" if follows(q, b, True) else "no" if follows(q, b, False) else "unknown"
 
 
 @F.pandas_udf(StringType())
@@ -188,10 +208,14 @@ def predicates(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b([A-Z][A-Za-z0-9_]{0,15}|[a-z][a-z0-9_]{3,})\("), F.lit(1)))
 
 
+# The two English forms a conclusion is read from.
+IF_THEN = r"(?is)if (?:all\s+\w+\s+are|every\s+\w+\s+(?:is|are))\s+([A-Za-z][A-Za-z0-9_]*).*?then (?:all\s+\w+\s+are|every\s+\w+\s+(?:is|are))\s+([A-Za-z][A-Za-z0-9_]*)"
+EVERY_IS = r"(?is)(?:all|every)\s+\w+\s+(?:is|are)\s+([A-Za-z][A-Za-z0-9_]*)"
+
+
 def conclusion(c: Column, known: Column) -> Column:
     """∀(A→B) of 'if all X are A … then all Y are B', ∀A of 'all X are A'; null unless the names are known."""
-    p2 = r"(?is)if (?:all\s+\w+\s+are|every\s+\w+\s+(?:is|are))\s+([A-Za-z][A-Za-z0-9_]*).*?then (?:all\s+\w+\s+are|every\s+\w+\s+(?:is|are))\s+([A-Za-z][A-Za-z0-9_]*)"
-    p1 = r"(?is)(?:all|every)\s+\w+\s+(?:is|are)\s+([A-Za-z][A-Za-z0-9_]*)"
+    p2, p1 = IF_THEN, EVERY_IS
     g = F.regexp_extract
     ok = lambda x: F.array_contains(known, x)
     return F.when(c.rlike(p2) & ok(g(c, p2, 1)) & ok(g(c, p2, 2)), F.format_string("∀x(%s(x) → %s(x))", g(c, p2, 1), g(c, p2, 2))).when(

@@ -81,15 +81,13 @@ def _blocks(queries: DataFrame, cols: list[str], block: int) -> Iterator[list]:
         yield rows
 
 
-def search(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame, d_id: str, d_text: str, k: int = 3, block: int = 5000, max_features: int = 8000, min_df: int = 2, positive: bool = True) -> DataFrame:
-    """query_id, doc_id, score, rank: the k documents of greatest cosine per query (ties: least id, as text).
-
-    Results stop at score 0. Null or empty texts match nothing. An empty query or document table
-    gives an empty result.
-    """
+def _scored(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame, d_id: str, d_text: str, block: int, max_features: int, min_df: int, use, schema: str) -> list[DataFrame]:
+    """Per block of queries the rows that `use` makes of (scores of documents and queries, document ids, query
+    names, state); the state is one dictionary per task, and `use` is called with scores None at the end of the task."""
     vocab, _ = vocabulary(docs, d_text, max_features, min_df)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocab)
+    columns = [c.split()[0] for c in schema.split(", ")]
     parts = []
     for rows in _blocks(queries.filter(F.col(q_id).isNotNull()), [q_id, q_text], block):
         names, postings = [], {}
@@ -100,6 +98,7 @@ def search(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame, d_id: st
         inverted = spark.sparkContext.broadcast({t: (np.array([p[0] for p in v]), np.array([p[1] for p in v])) for t, v in postings.items()})
 
         def run(batches: Iterator[pd.DataFrame], names=names, inverted=inverted) -> Iterator[pd.DataFrame]:
+            state: dict = {}
             for pdf in batches:
                 ids = [str(x) for x in pdf["i"]]
                 for a in range(0, len(ids), 500):
@@ -109,10 +108,56 @@ def search(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame, d_id: st
                             hit = inverted.value.get(int(term))
                             if hit is not None:
                                 s[i, hit[0]] += hit[1] * x
-                    yield pd.DataFrame([(names[j], d, v) for j, d, v in _best(s, ids[a : a + 500], k, positive)], columns=["query_id", "doc_id", "score"])
+                    yield pd.DataFrame(use(s, ids[a : a + 500], names, state), columns=columns)
+            yield pd.DataFrame(use(None, [], names, state), columns=columns)
+
+        parts.append(docs.filter(F.col(d_id).isNotNull()).select(F.col(d_id).alias("i"), F.col(d_text).alias("t")).mapInPandas(run, schema))
+    return parts
 
-        parts.append(docs.filter(F.col(d_id).isNotNull()).select(F.col(d_id).alias("i"), F.col(d_text).alias("t")).mapInPandas(run, HITS))
-    return _merge(reduce(DataFrame.unionByName, parts), k) if parts else _merge(spark.createDataFrame([], HITS), k)
+
+def search(
+    queries: DataFrame, q_id: str, q_text: str, docs: DataFrame, d_id: str, d_text: str, k: int = 3, block: int = 5000, max_features: int = 8000, min_df: int = 2, positive: bool = True, mask: tuple[str, str] | None = None
+) -> DataFrame:
+    """query_id, doc_id, score, rank: the k documents of greatest cosine per query (ties: least id, as text).
+
+    Results stop at score 0 unless `positive` is False. Null or empty texts match nothing. An empty
+    query or document table gives an empty result. mask names a column of the queries and one of the
+    documents that must agree; a query whose value no document has is searched without it.
+    """
+    if mask:
+        q, d = mask
+        there = [r[0] for r in docs.select(d).distinct().limit(1001).collect() if r[0] is not None]
+        if len(there) > 1000:
+            raise ValueError("a mask column has at most 1000 values")
+        plain = {"k": k, "block": block, "max_features": max_features, "min_df": min_df, "positive": positive}
+        parts = [search(queries.filter(F.col(q) == v), q_id, q_text, docs.filter(F.col(d) == v), d_id, d_text, **plain) for v in sorted(there)]
+        rest = queries.filter(F.col(q).isNull() | ~F.col(q).isin(there)) if there else queries
+        return reduce(DataFrame.unionByName, parts + [search(rest, q_id, q_text, docs, d_id, d_text, **plain)])
+
+    def best(s, ids, names, state):
+        return [] if s is None else [(names[j], d, v) for j, d, v in _best(s, ids, k, positive)]
+
+    parts = _scored(queries, q_id, q_text, docs, d_id, d_text, block, max_features, min_df, best, HITS)
+    return _merge(reduce(DataFrame.unionByName, parts), k) if parts else _merge(docs.sparkSession.createDataFrame([], HITS), k)
+
+
+def closest(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame, d_id: str, d_text: str, close: float = 0.5, block: int = 5000, max_features: int = 8000, min_df: int = 2) -> DataFrame:
+    """query_id, best_score, n_close: the greatest cosine of each query over all documents (0.0 without
+    overlap), and the number of documents at `close` or more. Maxima and counts are kept in the tasks,
+    so one row per query and task moves, and no pairs."""
+
+    def keep(s, ids, names, state):
+        if s is None:
+            return [(n, float(m), int(c)) for n, m, c in zip(names, state["max"], state["n"])] if state else []
+        s = np.round(s, 9)
+        state["max"] = np.maximum(state.get("max", 0.0), s.max(0)) if len(s) else state.get("max", np.zeros(len(names)))
+        state["n"] = state.get("n", 0) + (s >= close).sum(0)
+        return []
+
+    schema = "query_id string, best_score double, n_close bigint"
+    parts = _scored(queries, q_id, q_text, docs, d_id, d_text, block, max_features, min_df, keep, schema)
+    all_ = reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+    return all_.groupBy("query_id").agg(F.max("best_score").alias("best_score"), F.sum("n_close").alias("n_close"))
 
 
 def search_vectors(queries: DataFrame, docs: DataFrame, key: str, vec: str, k: int = 5, block: int = 5000) -> DataFrame:
@@ -141,10 +186,3 @@ def search_vectors(queries: DataFrame, docs: DataFrame, key: str, vec: str, k: i
 
         parts.append(docs.filter(F.col(key).isNotNull() & (F.size(vec) == dim)).select(F.col(key).alias("i"), F.col(vec).alias("v")).mapInPandas(run, HITS))
     return _merge(reduce(DataFrame.unionByName, parts), k) if parts else _merge(spark.createDataFrame([], HITS), k)
-
-
-def best_match(hits: DataFrame, queries: DataFrame, q_id: str) -> DataFrame:
-    """Greatest cosine of every query, 0.0 and null for queries without overlap."""
-    h = hits.filter("rank = 1").select("query_id", F.col("doc_id").alias("best_doc"), F.col("score").alias("best_score"))
-    q = queries.select(F.col(q_id).cast("string").alias("query_id")).distinct()
-    return q.join(h, "query_id", "left").withColumn("best_score", F.coalesce("best_score", F.lit(0.0)))

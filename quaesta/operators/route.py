@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, StringIndexer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaesta.operators.retrieve import vector, vocabulary
@@ -32,11 +33,39 @@ class Router:
         return df.withColumn("features", vec(F.col(text)))
 
     def predict(self, df: DataFrame, text: str) -> DataFrame:
-        """Adds model_label and model_conf; a text without known terms gets the prior."""
-        p = self.model.transform(self.features(df, text))
-        names = F.array(*map(F.lit, self.labels))
-        prob = vector_to_array("probability")
-        return p.withColumn("model_label", F.get(names, F.col("prediction").cast("int"))).withColumn("model_conf", F.round(F.array_max(prob), 6)).drop("features", "rawPrediction", "probability", "prediction")
+        """Adds model_label and model_conf; a text without known terms gets the prior. Scored in Arrow batches."""
+        lr = self.model.stages[1]
+        w, b = lr.coefficientMatrix.toArray(), lr.interceptVector.toArray()
+        if len(w) == 1:  # two classes: the second one's margin
+            w, b = np.vstack([np.zeros_like(w[0]), w[0]]), np.array([0.0, b[0]])
+        shared = df.sparkSession.sparkContext.broadcast((self.vocab, np.ascontiguousarray(w.T), b, self.labels))
+
+        @F.pandas_udf("label string, conf double")
+        def route(t: pd.Series) -> pd.DataFrame:
+            vocab, weights, bias, labels = shared.value
+            out = []
+            for x in t:
+                ids, v = vector(x or "", vocab)
+                z = bias + (v @ weights[ids] if len(ids) else 0.0)
+                p = np.exp(z - z.max())
+                out.append((labels[int(p.argmax())], float(p.max() / p.sum())))
+            return pd.DataFrame(out, columns=["label", "conf"])
+
+        d = df.withColumn("__r", route(F.col(text)))
+        return d.withColumn("model_label", F.col("__r.label")).withColumn("model_conf", F.round("__r.conf", 6)).drop("__r")
+
+    def save(self, path: str) -> None:
+        """The model's weights and the vocabulary as tables, in any file system Spark can write to."""
+        spark = SparkSession.getActiveSession()
+        self.model.write().overwrite().save(f"{path}/model")
+        spark.createDataFrame([(t, i, x) for t, (i, x) in self.vocab.items()], "term string, number int, idf double").coalesce(1).write.mode("overwrite").parquet(f"{path}/vocabulary")
+        spark.createDataFrame([(i, x) for i, x in enumerate(self.labels)], "number int, label string").coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Router:
+        vocab = {r["term"]: (r["number"], r["idf"]) for r in spark.read.parquet(f"{path}/vocabulary").collect()}
+        labels = [r["label"] for r in spark.read.parquet(f"{path}/labels").orderBy("number").collect()]
+        return Router(vocab, PipelineModel.load(f"{path}/model"), labels)
 
 
 def fit_router(df: DataFrame, text: str, label: str, max_features: int = 5000, c: float = 1.0) -> Router:

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z95 = 1.959964
@@ -113,7 +113,7 @@ def exact_p(chi2: float) -> float:
 
 
 def report(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """T4: precision, recall, F1 and support per class, and overall accuracy."""
+    """T4: precision, recall, F1 and support per class, with the overall accuracy beside each."""
     c = df.groupBy(truth, pred).agg(F.count(F.lit(1)).alias("n"))
     both = c.select(F.col(truth).alias("label"), F.col("n").alias("s"), F.lit(0).alias("p"), F.when(F.col(truth) == F.col(pred), F.col("n")).otherwise(0).alias("tp")).unionByName(
         c.select(F.col(pred).alias("label"), F.lit(0).alias("s"), F.col("n").alias("p"), F.lit(0).alias("tp"))
@@ -121,4 +121,6 @@ def report(df: DataFrame, truth: str, pred: str) -> DataFrame:
     g = both.groupBy("label").agg(F.sum("s").alias("support"), F.sum("p").alias("predicted"), F.sum("tp").alias("hits"))
     div = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     pr, rc = div(F.col("hits"), F.col("predicted")), div(F.col("hits"), F.col("support"))
-    return g.select("label", "support", F.round(pr, 4).alias("precision"), F.round(rc, 4).alias("recall"), F.round(div(2 * pr * rc, pr + rc), 4).alias("f1"))
+    every = Window.partitionBy()  # one row per class
+    g = g.withColumn("accuracy", F.round(div(F.sum("hits").over(every), F.sum("support").over(every)), 4))
+    return g.select("label", "support", "accuracy", F.round(pr, 4).alias("precision"), F.round(rc, 4).alias("recall"), F.round(div(2 * pr * rc, pr + rc), 4).alias("f1"))

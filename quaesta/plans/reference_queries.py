@@ -264,7 +264,7 @@ def keyword_route(spark, d):
 
 
 @query(
-    f"WITH r AS (SELECT type AS y, route AS p FROM {_ROUTED} (SELECT type, lower(coalesce(list_extract(list_filter(prompt, lambda m: m.role = 'user'), 1).content, '')) AS t FROM val_samples)))), l AS (SELECT y AS label FROM r UNION SELECT p FROM r), s AS (SELECT label, (SELECT count(*) FROM r WHERE y = label) AS support, (SELECT count(*) FROM r WHERE p = label) AS predicted, (SELECT count(*) FROM r WHERE p = label and y = label) AS hits FROM l), m AS (SELECT label, support, case when predicted > 0 then hits / predicted::double else 0.0 end AS pr, case when support > 0 then hits / support::double else 0.0 end AS rc FROM s) SELECT label, support, round(pr, 4) AS precision, round(rc, 4) AS recall, round(case when pr + rc > 0 then 2 * pr * rc / (pr + rc) else 0.0 end, 4) AS f1 FROM m"
+    f"WITH r AS (SELECT type AS y, route AS p FROM {_ROUTED} (SELECT type, lower(coalesce(list_extract(list_filter(prompt, lambda m: m.role = 'user'), 1).content, '')) AS t FROM val_samples)))), l AS (SELECT y AS label FROM r UNION SELECT p FROM r), s AS (SELECT label, (SELECT count(*) FROM r WHERE y = label) AS support, (SELECT count(*) FROM r WHERE p = label) AS predicted, (SELECT count(*) FROM r WHERE p = label and y = label) AS hits FROM l), m AS (SELECT label, support, case when predicted > 0 then hits / predicted::double else 0.0 end AS pr, case when support > 0 then hits / support::double else 0.0 end AS rc FROM s) SELECT label, support, round(pr, 4) AS precision, round(rc, 4) AS recall, round(case when pr + rc > 0 then 2 * pr * rc / (pr + rc) else 0.0 end, 4) AS f1, (SELECT round(avg((y = p)::int), 4) FROM r) AS accuracy FROM m"
 )
 def classification_report(spark, d):
     """T1, T4."""
@@ -304,8 +304,8 @@ _TF = (
 @query(_TF + "SELECT query_id, round(max(s), 6) AS best_score, count(*) filter (where round(s, 9) >= 0.5) AS n_close FROM pair GROUP BY query_id")
 def tfidf_best(spark, d):
     """Greatest cosine of each validation question over all documents, and how many lie at 0.5 or more."""
-    hits = retrieve.search(_questions(spark, d), "qid", "text", table(spark, d, "documents"), "doc_id", "text", k=2_000_000_000)
-    return hits.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("best_score"), F.count_if(F.col("score") >= 0.5).alias("n_close"))
+    c = retrieve.closest(_questions(spark, d), "qid", "text", table(spark, d, "documents"), "doc_id", "text", close=0.5)
+    return c.filter("best_score > 0").select("query_id", F.round("best_score", 6).alias("best_score"), "n_close")
 
 
 @query()

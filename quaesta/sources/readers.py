@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaesta import schemas
+from quaesta.common import exists
 from quaesta.functions.text import format_prompt, strip
 
 # Spellings of "no unit", and entailment labels.
@@ -83,9 +82,9 @@ def entailment(df: DataFrame) -> DataFrame:
     return df.withColumn("answer", F.try_element_at(m, F.lower(strip(F.col("label"))))).filter("answer is not null").drop("label")
 
 
-def first_existing(*paths: str) -> str:
-    """The first path that exists; an error names them all if none does."""
+def first_existing(spark: SparkSession, *paths: str) -> str:
+    """The first path that exists, in whatever file system; an error names them all if none does."""
     for p in paths:
-        if os.path.exists(p):
+        if exists(spark, p):
             return p
     raise FileNotFoundError(", ".join(paths))

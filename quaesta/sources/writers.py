@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaesta.common import exists, write_text
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -20,18 +21,15 @@ def write_dual(df: DataFrame, path: str, stamp: str, latest: bool) -> None:
         df.sparkSession.read.schema(df.schema).json(f"{path}_{stamp}").write.mode("overwrite").json(f"{path}_latest")
 
 
-def write_status(status: dict, path: str) -> None:
+def write_status(spark: SparkSession, status: dict, path: str) -> None:
     """Written beside the target and renamed, so that a reader never sees half a file."""
-    tmp = f"{path}.tmp"
-    with open(tmp, "w", encoding="utf-8") as f:
-        json.dump(status, f, ensure_ascii=False, indent=2)
-    os.replace(tmp, path)
+    write_text(spark, json.dumps(status, ensure_ascii=False, indent=2), path)
 
 
 def write_sheet(df: DataFrame, path: str, limits: dict[str, int]) -> None:
-    """CSV with the named columns cut to their limits."""
+    """CSV with the named columns cut to their limits; blanks at the ends of texts stay."""
     cut = df.select(*[F.substring(c, 1, limits[c]).alias(c) if c in limits else F.col(c) for c in df.columns])
-    cut.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
+    cut.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_units(df: DataFrame, path: str, unit: str) -> None:
@@ -44,5 +42,5 @@ def write_index(postings: DataFrame, path: str, version: int) -> None:
     postings.write.mode("overwrite").parquet(f"{path}/v{version}")
 
 
-def read_index(spark, path: str, version: int) -> DataFrame | None:
-    return spark.read.parquet(f"{path}/v{version}") if os.path.exists(f"{path}/v{version}") else None
+def read_index(spark: SparkSession, path: str, version: int) -> DataFrame | None:
+    return spark.read.parquet(f"{path}/v{version}") if exists(spark, f"{path}/v{version}") else None

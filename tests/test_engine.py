@@ -8,9 +8,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quaesta.functions import text
 from quaesta.functions.calc import evaluate
 from quaesta.operators import evaluate as E
-from quaesta.operators import fol, overlap, retrieve
+from quaesta.operators import fol, overlap, retrieve, route
 from quaesta.operators import stats as A
 from quaesta.sources import readers, writers
 from quaesta.streaming import running
@@ -85,7 +86,12 @@ def test_logic_forms(spark):
     assert fol.entails(["ForAll(x, Implies(Man(x), Mortal(x)))", "Man(socrates)"], "Mortal(socrates)") == "yes"
     assert fol.entails(["∀x (A(x) -> B(x))"], "∀x (B(x) → A(x))") == "unknown"
     assert fol.entails(["loves(x, y)"], "A(x)") is None
-    assert fol.entails([f"∀x (P{i}(x) → P{i + 1}(x))" for i in range(30)], "∀x P1(x)") is None
+    assert fol.entails([f"∀x (P{i}(x) → P{i + 1}(x))" for i in range(30)], "∀x P1(x)") == "unknown"
+    assert fol.entails([f"∀x (P{i}(x) → P{i + 1}(x))" for i in range(40)] + ["P0(a)"], "∀x P40(x)") == "yes"
+    # disjoined conjunctions are not multiplied out: 30 of them would be 2^30 clauses
+    many = " ∨ ".join(f"(A{i}(x) ∧ B{i}(x))" for i in range(30))
+    assert fol.entails([f"∀x ({many})"] + [f"∀x (A{i}(x) → C(x))" for i in range(30)], "∀x C(x)") == "yes"
+    assert len(fol.clauses(fol.Parser(f"∀x ({many})").formula()[1])) < 200
     df = spark.createDataFrame([("if all men are A then all men are B",), ("nothing",)], "t string")
     got = [r[0] for r in df.select(fol.conclusion(F.col("t"), F.array(F.lit("A"), F.lit("B")))).collect()]
     assert got == ["∀x(A(x) → B(x))", None]
@@ -144,11 +150,12 @@ def test_sources_and_sinks(spark, tmp_path):
     writers.write_units(df, str(tmp_path / "u"), "u")
     writers.write_units(df.filter("u = 2").withColumn("t", F.lit("e")), str(tmp_path / "u"), "u")
     assert {r["u"]: r["t"] for r in spark.read.parquet(str(tmp_path / "u")).collect()} == {1: "abc", 2: "e"}
-    writers.write_status({"a": 1}, str(tmp_path / "s.json"))
-    assert json.loads((tmp_path / "s.json").read_text()) == {"a": 1}
+    for n in (1, 2):
+        writers.write_status(spark, {"a": n}, str(tmp_path / "s.json"))
+    assert json.loads((tmp_path / "s.json").read_text()) == {"a": 2}
     writers.write_dual(df, str(tmp_path / "o"), "1", True)
     assert spark.read.json(str(tmp_path / "o_latest")).count() == 2
-    assert readers.first_existing(str(tmp_path / "none"), str(tmp_path / "s.json")).endswith("s.json")
+    assert readers.first_existing(spark, str(tmp_path / "none"), str(tmp_path / "s.json")).endswith("s.json")
 
 
 def test_streaming(spark, tmp_path):
@@ -195,3 +202,53 @@ def test_bootstrap_interval_is_exact_binomial(spark, n, k):
     d = spark.createDataFrame([("g", i < k) for i in range(n)], "g string, ok boolean")
     r = A.bootstrap(d, ["g"], "ok", 1000).collect()[0]
     assert [r["ci_low"], r["ci_high"]] == want
+
+
+def test_closest_against_search(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=6))) for i in range(200)], "i int, t string").repartition(5)
+    q = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=4))) for i in range(20)] + [(99, "none of them")], "i int, t string")
+    hits = retrieve.search(q, "i", "t", docs, "i", "t", k=10_000).collect()
+    got = {r["query_id"]: (r["best_score"], r["n_close"]) for r in retrieve.closest(q, "i", "t", docs, "i", "t", close=0.5).collect()}
+    for i in [*range(20), 99]:
+        mine = [h["score"] for h in hits if h["query_id"] == str(i)]
+        assert got[str(i)] == (max(mine, default=0.0), sum(x >= 0.5 for x in mine))
+
+
+def test_search_with_mask(spark):
+    docs = spark.createDataFrame([(1, "coil charge flux", "p"), (2, "coil charge", "l"), (3, "flux charge coil", "p")], "i int, t string, s string")
+    q = spark.createDataFrame([(10, "coil charge", "l"), (11, "coil charge", "p"), (12, "coil charge", "z"), (13, "coil charge", None)], "i int, t string, s string")
+    got = {}
+    for r in retrieve.search(q, "i", "t", docs, "i", "t", k=3, min_df=1, mask=("s", "s")).collect():
+        got.setdefault(r["query_id"], set()).add(r["doc_id"])
+    assert got == {"10": {"2"}, "11": {"1", "3"}, "12": {"1", "2", "3"}, "13": {"1", "2", "3"}}
+
+
+def test_running_accuracy_over_ranges(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "a", "b", None]), i, rnd.choice([True, False, None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, i int, ok boolean").repartition(4)
+    got = {(r["g"], r["i"]): (r["n_so_far"], r["accuracy_so_far"]) for r in E.running_accuracy(df, ["g"], ["i"], "ok").collect()}
+    for g in ("a", "b", None):
+        n, right, seen = 0, 0, 0
+        for k, i, ok in rows:
+            if k == g:
+                n, right, seen = n + 1, right + (ok is True), seen + (ok is not None)
+                assert got[(g, i)] == (n, None if not seen else pytest.approx(right / seen, abs=1e-6))
+
+
+def test_boxed_of_any_depth(spark):
+    deep = "x \\boxed{" + "{" * 12 + "5" + "}" * 12 + "} end"
+    df = spark.createDataFrame([(deep,), ("\\boxed{" + "{" * 9,), ("\\boxed{1} and \\boxed{2}",)], "t string")
+    assert [r[0] for r in df.select(text.boxed(F.col("t"))).collect()] == ["{" * 12 + "5" + "}" * 12, None, "2"]
+
+
+def test_router_survives_saving(spark, tmp_path):
+    rows = [(f"the coil has charge and flux {i}", "physics") for i in range(20)] + [(f"every baker follows the premise {i}", "logic") for i in range(20)]
+    df = spark.createDataFrame(rows, "t string, y string")
+    r = route.fit_router(df, "t", "y")
+    r.save(str(tmp_path / "r"))
+    back = route.Router.load(spark, str(tmp_path / "r"))
+    got = [(a["model_label"], a["model_conf"], b["model_conf"], a["y"]) for a, b in zip(r.predict(df, "t").collect(), back.predict(df, "t").collect())]
+    assert all(x == y and p == q for x, p, q, y in got)
