@@ -128,15 +128,27 @@ def logic_labels(spark, d):
     return _ext(spark, d).select("sample_id", T.logic_label(F.coalesce("raw_end", F.lit(""))).alias("label"))
 
 
-@query()
+_ALONE = D.WORD_START + "([ABCD])" + D.WORD_END
+_UP_TAG = f"upper(case when {D.has('t', D.TAG_PATTERN.format('answer'))} then {D.tag('t', 'answer')} end)"
+
+
+@query(
+    f"SELECT sample_id, pred, coalesce(nullif({D.ext('body', _ALONE, 1)}, ''), nullif({D.ext('body', '([ABCD])', 1)}, ''), substr(list_extract(list_filter(list_transform({D.lines('t')}, lambda l: upper(l)), lambda l: regexp_matches(l, '^[ABCD][.):]?\s*$')), -1), 1, 1), "
+    f"list_extract(list_filter(regexp_split_to_array(upper(t), '[^\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: w in ('A', 'B', 'C', 'D')), -1), '') AS letter FROM (SELECT *, {_UP_TAG} AS body FROM (SELECT sample_id, pred, coalesce(raw_end, '') AS t FROM {EXT}))"
+)
 def mcq_letters(spark, d):
-    """X9, and its agreement with the stored prediction: rows only (overlapping word borders differ in RE2)."""
+    """X9, beside the stored prediction."""
     return _ext(spark, d).select("sample_id", "pred", T.mcq_letter(F.coalesce("raw_end", F.lit(""))).alias("letter"))
 
 
-@query()
+_STEP = D.strip(D.sub(D.strip(D.sub("s", r"\*\*|`")), r"^\s*(?:[-*•]\s+|\d+[.)]\s+)+", "", ""))
+
+
+@query(
+    f"SELECT sample_id, case when r <> '' then case when len(steps) > 0 then steps[1:10] else [substr(r, 1, 300)] end end AS steps FROM (SELECT sample_id, r, list_filter(list_transform(regexp_split_to_array({D.sub('r', '([.;])' + chr(92) + 's+([A-Z0-9(])', chr(92) + '1' + chr(10) + chr(92) + '2')}, '\n+'), lambda s: {_STEP}), lambda s: length(s) > 2) AS steps FROM (SELECT sample_id, {D.tag(_RAW, 'reasoning')} AS r FROM {FAIR}))"
+)
 def reasoning_lists(spark, d):
-    """Rows only (look-behind)."""
+    """X12."""
     return _fair(spark, d).select("sample_id", T.reasoning_steps(T.tag_body(F.coalesce("prediction_raw", F.lit("")), "reasoning")).alias("steps"))
 
 
@@ -167,6 +179,31 @@ def physics_clean(spark, d):
     return readers.clean_physics(table(spark, d, "physics_raw").dropDuplicates(["id"])).select("id", "question", "cot", "answer")
 
 
+_LATEX = [
+    (r"\\[,;]", " "), (r"\\!", ""), (r"\\(?:text|mathrm|mathbf|mathit|rm|bf)\s*\{([^{}]*)\}", r"\1"), (r"\\mu\s*", "u"), (r"\\Omega\s*", "ohm"), (r"\\(?:circ|degree)\s*", "deg"), (r"\\times\s*10\s*\^?\s*\{?\s*([-+]?\d+)\s*\}?", r"e\1"),
+    (r"\b10\s*\^?\s*\{\s*([-+]?\d+)\s*\}", r"1e\1"), (r"[$]|\\\(|\\\)", ""), (r"[{}]", ""), (r"\\approx|\\boxed", ""),
+]
+
+
+def _latex(x: str) -> str:
+    for p, to in _LATEX:
+        x = D.sub(x, p, to)
+    return D.strip(x)
+
+
+_TOKS = "list_filter(regexp_split_to_array(v_unit, '\\s+'), lambda x: x <> '')"
+
+
+@query(
+    f"SELECT idx, plain, substr({D.sub('tok', '[^A-Za-zμΩ' + chr(92) + 'x{2126}°²³⁻/·]')}, 1, 8) AS unit FROM (SELECT *, coalesce(case when toks[1] in ('u', 'm', 'k', 'M', 'n', 'p', 'G', 'µ', 'μ', 'c', 'd') then toks[1] || coalesce(toks[2], '') else toks[1] end, '') AS tok FROM (SELECT *, {_TOKS} AS toks FROM "
+    + D.parsed(f"(SELECT idx, {_latex('coalesce(prediction, ' + D.q('') + ')')} AS plain FROM {ERRORS})", {"v": "plain"}) + "))"
+)
+def plain_units(spark, d):
+    """Predictions without LaTeX, and the first word of their units."""
+    e = V.parse(_errors(spark, d).withColumn("plain", S.latex_clean(F.coalesce("prediction", F.lit("")))), F.col("plain"), "v")
+    return e.select("idx", "plain", S.clean_unit(F.col("v_unit")).alias("unit"))
+
+
 @query()
 def shaped_answers(spark, d):
     """Unit and number shaping of predictions (rows only: number formatting differs between engines)."""
@@ -246,9 +283,19 @@ def label_agreement(spark, d):
     return A.kappa(e, "a", "b", S.CLASSES_E3)
 
 
-@query()
+_KEY = lambda c: f"{D.UNIT_MAP}[lower({D.translate(D.strip(c), 'Ω' + chr(0x2126), 'ωω')})]"
+_HAS_UNIT = D.any_of("replace(lower(p), ' ', '')", [u for us in D.SCALES.values() for u in us.split()])
+
+
+@query(
+    "SELECT subject, class, count(*) AS n FROM (SELECT subject, case when length(p) < 2 or lower(p) in ('none', 'null', 'n/a') then 'E5' when lower(subject) = 'logic' then 'E4' when lower(subject) <> 'physics' then 'E0' "
+    "when rel < 0.02 then 'E0' when rel < 0.30 then 'E3' when rel is not null and mismatch then 'E1' when rel is not null then 'E2' "
+    f"when not regexp_matches(g, '[0-9]') then case when regexp_matches(p, '[0-9]') then 'E5' else 'E0' end when {_HAS_UNIT} or regexp_matches(p, '[0-9]') then 'E1' else 'E0' end AS class "
+    f"FROM (SELECT *, case when y_value <> 0 and x_value is not null then abs(x_value - y_value) / abs(y_value) end AS rel, x_unit <> '' and y_unit <> '' and coalesce({_KEY('x_unit')} <> {_KEY('y_unit')}, false) AS mismatch FROM "
+    + D.parsed(f"(SELECT subject, {D.strip('coalesce(prediction, ' + D.q('') + ')')} AS p, {D.strip('coalesce(ground_truth, ' + D.q('') + ')')} AS g FROM {ERRORS})", {"x": "p", "y": "g"}) + ")) GROUP BY ALL"
+)
 def error_classes_six(spark, d):
-    """E2 (rows only: brute force in the tests)."""
+    """E2, V14."""
     return S.error_class_6(_errors(spark, d), "prediction", "ground_truth", "subject").groupBy("subject", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -340,13 +387,13 @@ _COLLAPSE = lambda x: D.strip(f"lower({D.sub(x, D.WS + '+', ' ')})")  # noqa: E7
 
 
 @query(
-    f"WITH r AS (SELECT {_COLLAPSE('question')} AS k, count(*) AS n, list(DISTINCT coalesce(ground_truth, chr(1))) AS a FROM {ERRORS} WHERE question IS NOT NULL GROUP BY 1) SELECT e.sample_id, r.n AS n_copies, coalesce(list_contains(r.a, e.gt), false) AS same_answer FROM {EXT} e JOIN r ON r.k = {_COLLAPSE('e.question')}"
+    f"WITH r AS (SELECT {_COLLAPSE('prediction')} AS k, count(*) AS n, list(DISTINCT coalesce(ground_truth, chr(1))) AS a FROM {ERRORS} WHERE prediction IS NOT NULL GROUP BY 1) SELECT f.sample_id, r.n AS n_copies, coalesce(list_contains(r.a, f.ground_truth), false) AS same_answer FROM {FAIR} f JOIN r ON r.k = {_COLLAPSE('f.prediction_extracted')}"
 )
 def exact_duplicates(spark, d):
-    """Benchmark questions that occur among the annotated errors."""
-    left = _ext(spark, d).select("sample_id", "question", F.col("gt").alias("answer"))
-    right = _errors(spark, d).select("question", F.col("ground_truth").alias("answer"))
-    return overlap.exact_duplicates(left, right, "question", "answer").select("sample_id", "n_copies", "same_answer")
+    """Extracted predictions that occur, word for word, among those of the annotated errors, and whether with the same truth."""
+    left = _fair(spark, d).select("sample_id", F.col("prediction_extracted").alias("text"), F.col("ground_truth").alias("answer"))
+    right = _errors(spark, d).select(F.col("prediction").alias("text"), F.col("ground_truth").alias("answer"))
+    return overlap.exact_duplicates(left, right, "text", "answer").select("sample_id", "n_copies", "same_answer")
 
 
 _SH_W = "(case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) else [] end)"
