@@ -14,7 +14,7 @@ from quaesta.operators import evaluate as E
 from quaesta.operators import fol, requests
 from quaesta.operators import stats as A
 from quaesta.plans import duck as D
-from quaesta.plans.reference_queries import ERRORS, EXT, FAIR, _errors, _ext, _fair
+from quaesta.plans.reference_queries import ERRORS, FAIR, _errors, _fair
 from quaesta.sources import readers, writers
 
 QUERIES: dict = {}
@@ -195,10 +195,10 @@ def logic_scan(spark, d):
     return got.select("question", "answer", "explanation", F.size("premises_nl").cast("long").alias("n_premises"))
 
 
-@query(f"SELECT sample_id, case lower({D.strip('gt')}) when 'true' then 'yes' when 'false' then 'no' when 'uncertain' then 'unknown' when 'unknown' then 'unknown' when 'yes' then 'yes' when 'no' then 'no' end AS answer FROM {EXT} WHERE lower({D.strip('gt')}) in ('true', 'false', 'uncertain', 'unknown', 'yes', 'no')")
+@query(f"SELECT idx, case lower({D.strip('ground_truth')}) when 'true' then 'yes' when 'false' then 'no' when 'uncertain' then 'unknown' when 'unknown' then 'unknown' when 'yes' then 'yes' when 'no' then 'no' end AS answer FROM {ERRORS} WHERE lower({D.strip('ground_truth')}) in ('true', 'false', 'uncertain', 'unknown', 'yes', 'no')")
 def entailment_scan(spark, d):
     """Entailment labels; rows with any other label are dropped."""
-    return readers.entailment(_ext(spark, d).select("sample_id", F.col("gt").alias("label"))).select("sample_id", "answer")
+    return readers.entailment(_errors(spark, d).select("idx", F.col("ground_truth").alias("label"))).select("idx", "answer")
 
 
 @query("SELECT r_name || chr(10) || 'A. ' || r_name || chr(10) || 'B. none' AS question, substr('AB', 1 + r_regionkey % 2, 1) AS answer FROM region")

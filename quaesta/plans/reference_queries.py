@@ -133,8 +133,8 @@ _UP_TAG = f"upper(case when {D.has('t', D.TAG_PATTERN.format('answer'))} then {D
 
 
 @query(
-    f"SELECT sample_id, pred, coalesce(nullif({D.ext('body', _ALONE, 1)}, ''), nullif({D.ext('body', '([ABCD])', 1)}, ''), substr(list_extract(list_filter(list_transform({D.lines('t')}, lambda l: upper(l)), lambda l: regexp_matches(l, '^[ABCD][.):]?\s*$')), -1), 1, 1), "
-    f"list_extract(list_filter(regexp_split_to_array(upper(t), '[^\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: w in ('A', 'B', 'C', 'D')), -1), '') AS letter FROM (SELECT *, {_UP_TAG} AS body FROM (SELECT sample_id, pred, coalesce(raw_end, '') AS t FROM {EXT}))"
+    f"SELECT sample_id, pred, coalesce(nullif({D.ext('body', _ALONE, 1)}, ''), nullif({D.ext('body', '([ABCD])', 1)}, ''), substr(list_extract(list_filter(list_transform({D.lines('t')}, lambda l: upper(l)), lambda l: regexp_matches(l, '^[ABCD][.):]?\\s*$')), -1), 1, 1), "
+    f"list_extract(list_filter(regexp_split_to_array(upper(t), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w in ('A', 'B', 'C', 'D')), -1), '') AS letter FROM (SELECT *, {_UP_TAG} AS body FROM (SELECT sample_id, pred, coalesce(raw_end, '') AS t FROM {EXT}))"
 )
 def mcq_letters(spark, d):
     """X9, beside the stored prediction."""
