@@ -229,17 +229,45 @@ def relevant_premises(premises: Column, idx: Column) -> Column:
     return F.when(F.size(F.coalesce(idx, F.array().cast("array<int>"))) == 0, premises).otherwise(picked)
 
 
+def _windows(c: Column, lengths: Column) -> Column:
+    """All different runs of a text that are as long as one of `lengths`."""
+    runs = F.transform(lengths, lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, n))).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.flatten(runs))
+
+
+def _runs(texts: DataFrame, fragments: DataFrame, *keep: str) -> DataFrame:
+    """__f and `keep` for every run of texts.__k that is as long as one of the fragments: what may equal one of them."""
+    lengths = [r[0] for r in fragments.select(F.length("__f")).distinct().collect()]  # at most 60 numbers
+    return texts.select(*keep, F.explode(_windows(F.col("__k"), F.array(*map(F.lit, sorted(lengths))).cast("array<int>"))).alias("__f"))
+
+
 def lookup(queries: DataFrame, text: str, table: DataFrame, key: str, value: str, order: str, fragment: int = 60) -> DataFrame:
-    """value of the entry with equal collapsed key (the last by `order`), else of the first entry that
-    shares its first `fragment` characters. Mutual containment of 60-character fragments is read as
-    equality of the leading fragment, which makes it an equi-join."""
+    """Value of the entry with equal collapsed key (the last by `order`), else of the first entry such
+    that the first `fragment` characters of one of the two keys occur anywhere in the other.
+
+    Containment is equality of runs: each fragment keeps its first entry only, each run of the stored
+    keys too, so both joins find one row per run, however often a text is repeated. Null and blank keys
+    are found by nothing and find nothing.
+    """
     from quaesta.functions.text import collapse
 
     k = collapse(F.col(key))
-    exact = table.groupBy(k.alias("__k")).agg(F.max_by(value, order).alias("__exact"))
-    start = table.groupBy(F.substring(k, 1, fragment).alias("__s")).agg(F.min_by(value, order).alias("__start"))
-    q = queries.withColumn("__k", collapse(F.col(text))).withColumn("__s", F.substring("__k", 1, fragment))
-    return q.join(exact, "__k", "left").join(start, "__s", "left").withColumn(value, F.coalesce("__exact", "__start")).drop("__k", "__s", "__exact", "__start")
+    stored = table.filter(k != "").groupBy(k.alias("__k")).agg(F.max_by(value, order).alias("__exact"), F.min(order).alias("__o"), F.min_by(value, order).alias("__v"))
+    first = F.min(F.struct("__o", "__v")).alias("__first")
+    q = queries.withColumn("__q", collapse(F.col(text)))
+    asked = q.filter(F.col("__q") != "").select("__q").distinct()
+    # the query's fragment in a stored key
+    mine = asked.select("__q", F.btrim(F.substring("__q", 1, fragment)).alias("__f"))
+    in_stored = _runs(stored, mine, "__o", "__v").groupBy("__f").agg(first)
+    a = mine.join(in_stored, "__f").select("__q", "__first")
+    # a stored key's fragment in the query
+    theirs = stored.groupBy(F.substring("__k", 1, fragment).alias("__f")).agg(first)
+    b = _runs(asked.withColumn("__k", F.col("__q")), theirs, "__q").join(theirs, "__f").select("__q", "__first")
+    near = a.unionByName(b).groupBy("__q").agg(F.min("__first").alias("__first"))
+    return (
+        q.join(stored.select(F.col("__k").alias("__q"), "__exact"), "__q", "left").join(near, "__q", "left")
+        .withColumn(value, F.coalesce("__exact", "__first.__v")).drop("__q", "__exact", "__first")
+    )
 
 
 def lookup_stats(table: DataFrame, answer: str) -> DataFrame:

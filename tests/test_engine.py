@@ -185,6 +185,21 @@ def test_lookup_prefers_exact_then_first(spark):
     assert got == {"a" * 80: "x", "a b": "w", "nothing": None, None: None}
 
 
+def test_lookup_finds_contained_fragments(spark):
+    rnd = random.Random(3)
+    words = ["coil", "charge", "flux", "baker", "hull", "vault"]
+    some = lambda n: " ".join(rnd.choices(words, k=n))
+    keys = [some(rnd.randint(2, 25)) for _ in range(60)] + ["", None]
+    asked = [some(rnd.randint(1, 25)) for _ in range(40)] + ["please say: " + keys[i] for i in range(10)] + [keys[i][3:] for i in range(10)] + ["", None]
+    t = spark.createDataFrame([(k, f"v{i}", i) for i, k in enumerate(keys)], "k string, v string, o int")
+    q = spark.createDataFrame([(i, x) for i, x in enumerate(asked)], "i int, t string")
+    got = {r["i"]: r["v"] for r in fol.lookup(q, "t", t, "k", "v", "o").collect()}
+    for i, x in enumerate(asked):
+        exact = [j for j, k in enumerate(keys) if k and k == x]
+        near = [j for j, k in enumerate(keys) if x and k and (x[:60].strip() in k or k[:60] in x)]
+        assert got[i] == (f"v{exact[-1]}" if exact else f"v{near[0]}" if near else None)
+
+
 def test_very_long_texts_do_not_break_patterns(spark):
     from quaesta.functions import text as T
     from quaesta.functions import verify as V
