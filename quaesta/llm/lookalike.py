@@ -331,7 +331,7 @@ def consistent_text(docs: DataFrame, with_form: bool = True, frequent: int = 20_
     Null texts have all of them null; texts without a visible character have the form ''. Two texts
     have equal forms exactly if they look the same. Repeated rows stay repeated. The canonical
     spellings of the `frequent` most frequent odd words of at most 512 characters travel to the texts
-    (ten megabytes at most); all others are joined by word.
+    (80 MB at the very worst); all others are joined by word.
     """
     got = durable(read(docs, with_form))
     known = durable(spellings(got.filter("word is not null")))
