@@ -35,12 +35,10 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _models(spark: SparkSession, d: str, pairs_: DataFrame) -> pairs.Models:
-    """Fitted on bounded samples: truncation on the responses, languages on labelled documents and the
+    """Fitted on whole tables: truncation on the responses, languages on labelled documents and the
     responses (in the language of their question, but for the defective ones), refusals on the solution texts."""
-    val = table(spark, d, "val_samples")
-    solutions = [x for r in val.select("cot", "explanation").limit(5000).collect() for x in r if x]
     spoken = pairs_.select(F.col("response").alias("text"), "lang")
-    return pairs.Models(truncation.fit(pairs_, "response", "sample_id"), refusals.fit_threshold(solutions), languages.fit(table(spark, d, "documents"), spoken))
+    return pairs.Models(truncation.fit(pairs_, "response"), refusals.fit(table(spark, d, "val_samples"), "cot", "explanation"), languages.fit(table(spark, d, "documents"), spoken))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

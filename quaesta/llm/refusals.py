@@ -9,9 +9,14 @@ template's weight. The threshold is fitted on known solution texts, which declin
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quaesta.llm.texts import BARE, LABEL, RESULT, is_blank
 
@@ -235,11 +240,39 @@ def score(text: str) -> float:
     return best
 
 
+def _threshold(counts: list[tuple[float, int]], least: float, share: float) -> float:
+    """The threshold from scores and how often each occurs."""
+    left = int(sum(n for _, n in counts) * share)
+    at = 0.0
+    for at, n in sorted(counts, reverse=True):
+        left -= n
+        if left < 0:
+            break
+    return min(0.95, max(least, at + 1e-9))
+
+
+def _solution_scores(solutions: list[str]) -> list[float]:
+    return [score(t) for t in solutions if not is_blank(t) and not gives_answer(t)]
+
+
 def fit_threshold(solutions: list[str], least: float = 0.7, share: float = 0.001) -> float:
     """The threshold that at most `share` of known solution texts exceed, between `least` and 0.95."""
-    got = sorted((score(t) for t in solutions if not is_blank(t) and not gives_answer(t)), reverse=True)
-    at = got[int(len(got) * share)] if got else 0.0
-    return min(0.95, max(least, at + 1e-9))
+    return _threshold(list(Counter(_solution_scores(solutions)).items()), least, share)
+
+
+def fit(df: DataFrame, *columns: str, least: float = 0.7, share: float = 0.001) -> float:
+    """`fit_threshold` on the solution texts in these columns of all rows of df.
+
+    Scores up to `least` are counted as 0 and those beyond 0.95 as 0.95, which leaves the threshold as it is and few different scores.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            got = Counter(min(0.95, x) if x > least else 0.0 for x in _solution_scores([t for c in columns for t in p[c] if isinstance(t, str)]))
+            yield pd.DataFrame({"score": list(got.keys()), "n": list(got.values())})
+
+    got = df.select(*columns).mapInPandas(run, "score double, n bigint").groupBy("score").agg(F.sum("n").alias("n")).collect()
+    return _threshold([(r["score"], r["n"]) for r in got], least, share)
 
 
 def gives_answer(text: str) -> bool:

@@ -1,9 +1,9 @@
 """Texts that stop before their end: hashed logistic regression on how a text closes.
 
-The model is fitted on a bounded sample (`sample_rows`, a documented parameter). Negatives are values
-of closed structure (nothing left open, something that closes a text); positives are the same values
-cut at random places, all of them. Every record is then scored, and the score alone decides. Field
-limits, one of the features, come from the lengths of all rows of each source.
+The model is fitted on all rows. Negatives are values of closed structure (nothing left open,
+something that closes a text); positives are the same values cut at random places, all of them. Every
+record is then scored, and the score alone decides. Field limits, one of the features, come from the
+lengths of all rows of each source.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,10 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaesta.common import join_small
+from quaesta.common import durable, join_small
 from quaesta.llm.texts import Closing, closing, is_blank
 
 DIMS = 1 << 13
+#: Gradients are summed in integers of this part of the whole: exactly, whatever the order and the tasks.
+_PARTS = float(1 << 52)
 SCORED = "row_id bigint, source string, probability double, truncated boolean"
 
 
@@ -44,10 +46,10 @@ def _fills(t: str, chars: float, size: float) -> bool:
     return bool((chars == chars and chars and len(t) >= chars - 1) or (size == size and size and len(t.encode("utf-8", "replace")) >= size - 3))
 
 
-def features(t: str, full: bool, tail: bool = False) -> list[int]:
-    """Hashed features of a text's closing: last characters and their shapes, last word, punctuation, open markup, field filled."""
+def features(t: str, full: bool, tail: bool = False, c: Closing | None = None) -> list[int]:
+    """Hashed features of a text's closing: last characters and their shapes, last word, punctuation, open markup, field filled. c: its Closing, if known."""
     u = t.rstrip()
-    c = closing(u, tail)
+    c = c or closing(u, tail)
     end = u[-8:]
     shape = re.sub(r"\d", "9", re.sub(r"[^\W\d_]", "a", end))
     last = u[-600:].rsplit("\n", 1)[-1]
@@ -79,40 +81,52 @@ def artificial_cut(t: str, rnd: random.Random) -> str | None:
     return None if is_blank(cut) else cut
 
 
-def train(texts: list[tuple[str, bool]], seed: int = 7, steps: int = 200, rate: float = 0.3, l2: float = 1e-3) -> np.ndarray:
-    """Weights of the logistic regression from (text, whether it fills its field).
+def examples(t: str, full: bool, seed: int = 7) -> tuple[list[int] | None, list[int] | None]:
+    """Features of a text as a negative and, cut at random, as a positive; None for what it is not.
 
     Intact values (closed structure) are negatives, a seventh of them as if they happened to fill
     their field; a random cut of each that is no bare answer is a positive, made by a field limit (so
-    that it fills the field) or in transfer (so that it does not), at even odds. Both classes weigh the same.
+    that it fills the field) or in transfer (so that it does not), at even odds. The draws follow from
+    the text alone, so they are the same in any task.
     """
-    rnd = random.Random(seed)
-    rows, y = [], []
-    for t, full in texts:
-        if is_blank(t):
-            continue
-        c = closing(t)
-        if not c.intact():
-            continue
-        rows.append(features(t, full or rnd.random() < 1 / 7))
-        y.append(0.0)
-        cut = None if c.bare else artificial_cut(t, rnd)
-        if cut:
-            rows.append(features(cut, rnd.random() < 0.5))
-            y.append(1.0)
-    w = np.zeros(DIMS)
-    if not rows or len(set(y)) < 2:
-        return w
-    x, t, m, v = np.array(rows), np.array(y), np.zeros(DIMS), np.zeros(DIMS)
-    weight = np.where(t > 0, 0.5 / t.sum(), 0.5 / (1 - t).sum())
+    if is_blank(t):
+        return None, None
+    c = closing(t)
+    if not c.intact():
+        return None, None
+    rnd = random.Random(seed << 32 | zlib.crc32(t.encode("utf-8", "replace")))
+    whole = features(t, full or rnd.random() < 1 / 7, c=c)
+    cut = None if c.bare else artificial_cut(t, rnd)
+    return whole, features(cut, rnd.random() < 0.5) if cut else None
+
+
+def _gradient(w: np.ndarray, x: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Gradient of the loss, both classes weighing the same, over rows of features x that occur n[:, 0]
+    times whole and n[:, 1] times cut, of `total` in all: integers, in 1 / _PARTS."""
+    p = 1 / (1 + np.exp(-w[x].sum(1)))
+    r = np.rint((p * n[:, 0] / total[0] - (1 - p) * n[:, 1] / total[1]) * (_PARTS / 2))
+    return np.bincount(x.ravel(), np.repeat(r, x.shape[1]), DIMS)
+
+
+def _descend(gradient: Callable[[np.ndarray], np.ndarray], steps: int, rate: float, l2: float) -> np.ndarray:
+    """Weights after so many steps along the whole gradient."""
+    w, m, v = np.zeros(DIMS), np.zeros(DIMS), np.zeros(DIMS)
     for i in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-w[x].sum(1)))
-        g = np.bincount(x.ravel(), np.repeat((p - t) * weight, x.shape[1]), DIMS) + l2 * w
+        g = gradient(w) / _PARTS + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-9)
     return w
 
 
+def train(texts: list[tuple[str, bool]], seed: int = 7, steps: int = 200, rate: float = 0.3, l2: float = 1e-3) -> np.ndarray:
+    """Weights of the logistic regression from (text, whether it fills its field), all `examples` of them."""
+    rows = [(f, cut) for t, full in texts for cut, f in enumerate(examples(t, full, seed)) if f]
+    x, n = np.array([f for f, _ in rows]), np.array([(1 - cut, cut) for _, cut in rows]).reshape(-1, 2)
+    if not n.sum(0).all():
+        return np.zeros(DIMS)
+    return _descend(lambda w: _gradient(w, x, n, n.sum(0)), steps, rate, l2)
+
+
 def probability(w: np.ndarray, feats: list[list[int]], prior: float = 0.25) -> np.ndarray:
     """Probability that a text is cut; `prior` is the share of cut records expected, as training weighs both classes alike."""
     return 1 / (1 + np.exp(-w[np.array(feats, dtype=np.int64)].sum(1)) * (1 - prior) / prior) if feats else np.zeros(0)
@@ -123,16 +137,63 @@ def with_limits(df: DataFrame, text: str = "text") -> DataFrame:
     return join_small(df, field_limits(df, "source", text), {"source": "source"})
 
 
-def fit(df: DataFrame, text: str = "text", key: str = "row_id", sample_rows: int = 8000) -> np.ndarray:
-    """Fit on at most `sample_rows` rows of df(key, source, text), the first by hash of key and text
-    (the same for the same table), whatever their length.
+def _blocks(df: DataFrame, text: str, seed: int) -> DataFrame:
+    """The different feature rows of all texts and how often each occurs, in blocks: rows, whole, cut, x, n.
+
+    Repeated texts count once. Only features and a hash of the text are moved.
+    """
+    t = with_limits(df.filter(F.col(text).isNotNull()).select("source", text), text).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"), "limit_chars", "limit_bytes")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            chars, size = p["limit_chars"].astype(float), p["limit_bytes"].astype(float)
+            once = dict.fromkeys((h, t, _fills(t, c, b)) for h, t, c, b in zip(p["h"], p["t"], chars, size))
+            made = [(h, full, *(np.array(f, np.uint16).tobytes() if f else None for f in examples(t, full, seed))) for h, t, full in once]
+            yield pd.DataFrame([r for r in made if r[2]], columns=["h", "full", "whole", "cut"])
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            if len(p):
+                n = p[["whole", "cut"]].to_numpy(np.int64)
+                yield pd.DataFrame({"rows": [len(p)], "whole": [n[:, 0].sum()], "cut": [n[:, 1].sum()], "x": [b"".join(p["x"])], "n": [n.tobytes()]})
+
+    one = t.mapInPandas(run, "h bigint, full boolean, whole binary, cut binary").distinct()
+    each = one.select(F.explode(F.array(F.struct(F.col("whole").alias("x"), F.lit(0).alias("y")), F.struct(F.col("cut").alias("x"), F.lit(1).alias("y"))))).select("col.*").filter(F.col("x").isNotNull())
+    same = each.groupBy("x").agg(F.count_if(F.col("y") == 0).alias("whole"), F.count_if(F.col("y") == 1).alias("cut"))
+    return durable(same.mapInPandas(pack, "rows bigint, whole bigint, cut bigint, x binary, n binary"))
+
+
+def _unpack(x: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = np.frombuffer(n, np.int64).reshape(-1, 2)
+    return np.frombuffer(x, np.uint16).reshape(len(n), -1).astype(np.int64), n
+
+
+def fit(df: DataFrame, text: str = "text", seed: int = 7, steps: int = 200, rate: float = 0.3, l2: float = 1e-3, driver_rows: int = 400_000) -> np.ndarray:
+    """Fit on all rows of df(source, text): `train` on all different texts, whatever their number and length.
 
-    Each task keeps its first rows, so only the sample is moved; repeated texts count once.
+    Up to `driver_rows` different feature rows (22 MB) the driver goes along the gradient by itself;
+    beyond that each step is a Spark job over all of them. The weights are the same either way.
     """
-    t = df.filter(F.col(text).isNotNull()).select(F.xxhash64(key, text).alias("h"), "source", text)
-    got = join_small(t.orderBy("h").limit(sample_rows), field_limits(df, "source", text), {"source": "source"}).orderBy("h").collect()
-    nan = float("nan")
-    return train(list(dict.fromkeys((r[text], _fills(r[text], r["limit_chars"] or nan, r["limit_bytes"] or nan)) for r in got)))
+    blocks = _blocks(df, text, seed)
+    size = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "whole", "cut")]).collect()[0]
+    total = np.array([size["whole"], size["cut"]], float)
+    if not total.all():
+        return np.zeros(DIMS)
+
+    def along(w: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            g = np.zeros(DIMS)
+            for p in batches:
+                for x, n in zip(p["x"], p["n"]):
+                    g += _gradient(w, *_unpack(x, n), total)
+            yield pd.DataFrame({"g": [g.tobytes()]})
+
+        return sum(np.frombuffer(r["g"]) for r in blocks.select("x", "n").mapInPandas(run, "g binary").collect())
+
+    if size["rows"] > driver_rows:
+        return _descend(along, steps, rate, l2)
+    parts = [(r["x"], r["n"]) for r in blocks.select("x", "n").collect()]
+    return _descend(lambda w: sum(_gradient(w, *_unpack(x, n), total) for x, n in parts), steps, rate, l2)
 
 
 def judge(texts: list[str], chars: list[float], size: list[float], weights: np.ndarray, tail: bool = False) -> np.ndarray:

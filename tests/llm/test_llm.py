@@ -8,7 +8,7 @@ import unicodedata
 import numpy as np
 import pytest
 
-from quaesta.llm import encode, languages, lookalike, packing, pairs, refusals, texts, truncation
+from quaesta.llm import encode, languages, lookalike, packing, pairs, queries, refusals, texts, truncation
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(os.path.join(encode.TOKENIZERS, "byte_bpe_50k.tiktoken")), reason="no tokenizer files")
 SENTENCES = ["Retry 5 kept the same charge.", "The field strength of the coil is 61.5 kV/m.", "Every courier who paints the hull also opens the vault.", "Insert the numbers: $U = 4.3 \\cdot 79.7 = 9.9$.", "We're told that the shunt carries 12 A at t = 3 s."]
@@ -94,6 +94,48 @@ def spoken(seed, n, names=SPOKEN):
     return rows
 
 
+def varied(n):
+    """Different texts, every third with another ending."""
+    return [f"The coil of hall {i} carries {i % 97} A. {SENTENCES[i % 5]}{ENDS[i % 3]}" for i in range(n)]
+
+
+def test_models_come_from_whole_tables(spark, tmp_path):
+    """More rows than any former sample held, with what decides in the rest."""
+    responses = varied(8500)
+    f = spark.createDataFrame([(i, "s", t, "en") for i, t in enumerate(responses)], "sample_id bigint, source string, response string, lang string")
+    rare = [f"{a}{b}" for a in "abcdef" for b in "vwxyz"]
+    docs = [(i, f"Hall {i} is cold. {t}", "en") for i, t in enumerate(responses[:7000])] + [(10_000 + i, f"Qu{x} zo{x}ma {x}{x} rela{x} {x}unto.", x) for i, x in enumerate(rare)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    solutions = [("The force is zero.", "So the sign decides.")] * 5000 + [("I cannot help with this request.", None)] * 400
+    spark.createDataFrame(solutions, "cot string, explanation string").coalesce(1).write.parquet(f"{tmp_path}/val_samples.parquet")
+    m = queries._models(spark, str(tmp_path), f)
+    assert m.threshold == 0.95
+    assert m.languages.names == sorted(["en", *rare]) + ["other"]
+    at = truncation.field_limits(f, "source", "response").collect()[0]
+    full = [truncation._fills(t, at["limit_chars"] or np.nan, at["limit_bytes"] or np.nan) for t in responses]
+    assert np.abs(m.weights - truncation.train(list(zip(responses, full)))).max() < 1e-6
+
+
+def test_fitted_in_spark_or_at_once(spark):
+    texts_ = varied(300)
+    df = spark.createDataFrame([("s", t) for t in [*texts_, *texts_[:50], "", None]], "source string, text string").repartition(3)
+    here = truncation.fit(df, steps=6)
+    assert np.abs(here).sum() > 0 and (here == truncation.fit(df, steps=6, driver_rows=0)).all() and (here == truncation.fit(df.coalesce(1), steps=6)).all()
+    rows = [(i, t, x) for i, (t, x) in enumerate(spoken(5, 40))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    held = {r["doc_id"] for r in docs.filter("pmod(xxhash64(doc_id, text), 5) = 0").select("doc_id").collect()}
+    a, b = [r for r in rows if r[0] in held], [r for r in rows if r[0] not in held]
+    order = [r for i, x in enumerate(a[: len(b) // 4]) for r in (x, *b[4 * i : 4 * i + 4])]  # train holds out every fifth
+    kept = {r[0] for r in order}
+    more = [("The charge stays the same after the switch opens.", "en"), ("Каждый пекарь открывает хранилище.", "en"), ("Se la vi.", "xx")]
+    got = languages.fit(docs.filter(docs.doc_id.isin(kept)), spark.createDataFrame(more, "text string, lang string"))
+    want = languages.train([t for _, t, _ in order], [x for _, _, x in order], more)
+    assert got.names == want.names and np.allclose(got.weights, want.weights) and abs(got.other - want.other) < 1e-4
+    said = [*SENTENCES, "I cannot help with this request."]
+    assert refusals.fit(spark.createDataFrame([(t, None) for t in said], "a string, b string"), "a", "b", share=0.5) == refusals.fit_threshold(said, share=0.5) == 0.7
+    assert refusals.fit(spark.createDataFrame([(t, None) for t in said], "a string, b string"), "a", "b") == refusals.fit_threshold(said) == 0.95
+
+
 @pytest.fixture(scope="module")
 def models(weights):
     rows = spoken(3, 60)
